@@ -164,16 +164,17 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [r[0] for r in rows.groupBy(key).count().where(F.col("count") > max(least, 1)).collect()] if least else []
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", on=None, salts: int = 32) -> DataFrame:
+def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", on=None, salts: int = 32, hot: list | None = None) -> DataFrame:
     """large joined with small on ``key`` (and the condition ``on``), with large's hot keys spread over ``salts`` tasks.
 
     ``spread`` is a column of large that varies within a key. ``how`` may be inner,
     left, left_semi or left_anti; null keys match nothing. Only the hot keys, at most
-    MOST_HOT values, come to the driver. Both sides keep their columns under the
+    MOST_HOT values, come to the driver; a caller that knows them passes ``hot``. Both sides keep their columns under the
     aliases ``l`` and ``r``, which ``on`` can use.
     """
     match = F.col(f"l.{key}") == F.col(f"r.{key}")
-    if hot := hot_keys(large, key):
+    hot = hot_keys(large, key) if hot is None else hot
+    if hot:
         is_hot = F.array_contains(F.array(*(F.lit(k) for k in hot)), F.col(key))
         large = large.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
         copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier, kmer_code, kmer_text
+from ..functions.text import identifier, kmer_code, kmer_text, label
 from ..plans.tables import table
+from ..storage import materialise
 from .frequent import frequent
+from .mixing import mixture, reached, shares
+from .packing import pack
 from .percentiles import percentiles, runs
+from .reading import reading_levels
+from .tokens import token_count
 from .top_n import top_n
 
 SHARES = [0.5, 0.9, 0.95, 0.99]
@@ -55,7 +60,64 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _frequent(spark, folder).select("sequence", "n_rows", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p4_found, p4_ranked, p5_found, p5_counts)}
+CAPACITY = 2048
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = table(spark, folder, "documents").select("doc_id", token_count("text").alias("n_tokens"))
+    return pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    packed = _packed(spark, folder).where("container_id is not null")
+    filled = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    out = filled.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+    return out.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * CAPACITY))
+
+
+def _sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and what the targets ask; the sizes are taken once."""
+    sized = table(spark, folder, "documents").select(F.col("doc_id").alias("ident"), label("source").alias("source"), token_count("text").alias("n_tokens"))
+    sized = materialise(sized, "sizes")
+    return sized, shares(sized, table(spark, folder, "mix_target").withColumn("source", label("source")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    sized, asked = _sources(spark, folder)
+    return reached(mixture(sized, asked), asked).where("not feasible").select("source")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(*_sources(spark, folder))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sized, asked = _sources(spark, folder)
+    return reached(mixture(sized, asked), asked)
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    ratings = table(spark, folder, "reading_label").select(F.col("doc_id").alias("ident"), "rater", F.col("reading_level").alias("level"))
+    return reading_levels(table(spark, folder, "documents"), "doc_id", "text", ratings)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).where("specialist").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_levels)}
 
 _TPM = """
 with r as (select distinct result_id, upper(trim(gene_id, ' ' || chr(9))) as gene_id, tpm from expression_result

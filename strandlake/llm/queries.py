@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import identifier, kmer_code, kmer_text, label
 from ..plans.tables import table
 from ..storage import materialise
+from .exact_spans import shared_bases, shared_pairs
 from .frequent import frequent
 from .mixing import mixture, reached, shares
 from .packing import pack
@@ -34,6 +35,14 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _tpm(spark, folder).select(F.col("grp").alias("gene_id"), "n", *(F.get("values", i).alias(f"p{round(s * 100)}") for i, s in enumerate(SHARES)))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_pairs(table(spark, folder, "genome_node"), "id", "sequence")
+
+
+def p3_shared(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_bases(table(spark, folder, "genome_node"), "id", "sequence")
+
+
 def _best(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "eqtl_result").select(identifier("gene_id").alias("gene_id"), "pvalue", "eqtl_id")
     return top_n(rows.where("pvalue >= 0 and pvalue <= 1"), "gene_id", "pvalue", "eqtl_id", 5)
@@ -117,7 +126,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_shared, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_levels)}
 
 _TPM = """
 with r as (select distinct result_id, upper(trim(gene_id, ' ' || chr(9))) as gene_id, tpm from expression_result

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-GROUPS = 24
+GROUPS = 64
 SMALL = 8  # an item is small if SMALL of them fit into a container
 SALTS = 64
 

@@ -32,7 +32,8 @@ LAY = 3  # levels up to this one are for lay readers
 
 def plain(text: Column) -> Column:
     """Lower case text without mark-up and without runs of sequence letters."""
-    bare = F.regexp_replace(text, r"<[^<>]{0,400}>|&[a-zA-Z]{2,8};|https?://\S+", " ")
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")) | F.contains(text, F.lit("://"))  # the pattern is slow
+    bare = F.when(marked, F.regexp_replace(text, r"<[^<>]{0,400}>|&[a-zA-Z]{2,8};|https?://\S+", " ")).otherwise(text)
     return F.lower(F.regexp_replace(bare, r"\b[ACGTUN]{8,}\b", " "))
 
 
@@ -110,7 +111,10 @@ def reading_levels(df: DataFrame, ident: str, text: str, ratings: DataFrame, rou
     no rows.
     """
     spark = df.sparkSession
-    base = df.select(F.col(f"`{ident}`").alias("ident"), plain(F.col(f"`{text}`")).alias("text")).distinct()
+    base = df.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"))
+    if not base.groupBy("ident").count().where("count > 1").isEmpty():  # else whole texts need not be shuffled
+        base = base.distinct()
+    base = base.select("ident", plain(F.col("text")).alias("text"))
     documents = materialise(_word_counts(base), "words")
     median = ratings.where("level is not null and ident is not null").select("ident", "rater", "level").distinct().groupBy("ident").agg(F.median("level").alias("level"))
     rated = materialise(documents.join(median, "ident").orderBy(F.xxhash64("ident"), "ident").limit(MOST_RATED), "rated")
@@ -130,7 +134,7 @@ def reading_levels(df: DataFrame, ident: str, text: str, ratings: DataFrame, rou
 def _word_counts(texts: DataFrame) -> DataFrame:
     """ident, sentences and words, the distinct words of the text with how often each occurs; linear in the sorted words."""
     w, ends = F.col("w"), F.col("ends")
-    found = F.array_sort(F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
+    found = F.sort_array(F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
     ordered = texts.select("ident", sentence_count(F.col("text")).alias("sentences"), found.alias("w"))
     bound = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
     cut = ordered.select("*", bound.alias("ends"))  # own steps: within one they would be computed anew for each word

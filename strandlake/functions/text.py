@@ -23,16 +23,23 @@ def label(c: Column | str) -> Column:
     return F.nullif(F.lower(trimmed(c)), F.lit(""))
 
 
-def kmer_code(c: Column, k: int = 31) -> Column:
+def kmer_valid(c: Column, k: int = 31) -> Column:
+    """Whether the string is exactly k letters A, C, G, T."""
+    return (F.length(c) == k) & (F.translate(c, "ACGT", "") == "")
+
+
+def kmer_code(c: Column, k: int = 31, checked: bool = False) -> Column:
     """A k-mer (k <= 31) over A, C, G, T as a bigint of two bits a letter; null for any other string.
 
     The code is exact and keeps the letters' order, so it can stand for the
-    string in every shuffle, sort and comparison at an eighth of the bytes.
+    string in every shuffle, sort and comparison at an eighth of the bytes. Rows
+    that kmer_valid() has kept are ``checked``: to filter them by a null code
+    instead would compute the code twice.
     """
     if k > 31:
         raise ValueError("a bigint holds at most 31 letters")
-    valid = (F.length(c) == k) & (F.translate(c, "ACGT", "") == "")
-    return F.when(valid, F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("bigint"))
+    code = F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("bigint")
+    return code if checked else F.when(kmer_valid(c, k), code)
 
 
 def kmer_text(code: Column, k: int = 31) -> Column:

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import kmer_code, kmer_valid
 
-def kmers(df: DataFrame, ident: str, sequence: str, k: int, start: Column | None = None, upper: bool = True, skip_n: bool = True) -> DataFrame:
-    """ident, kmer, position: every window of k letters; none of a sequence that is null or shorter than k."""
+
+def kmers(df: DataFrame, ident: str, sequence: str, k: int, start: Column | None = None, upper: bool = True, skip_n: bool = True, coded: bool = False) -> DataFrame:
+    """ident, kmer, position: every window of k letters; none of a sequence that is null or shorter than k.
+
+    A sequence becomes k times its size here, so the rows are first spread over all
+    tasks, however few files or bytes they came from. With ``coded`` (k at most 31)
+    a k-mer is its exact kmer_code(), and windows with other letters than A, C, G, T are left out.
+    """
     text = F.upper(sequence) if upper else F.col(sequence)
-    rows = df.where(F.length(sequence) >= k).select(F.col(ident), text.alias("_text"), (F.lit(0) if start is None else start).cast("bigint").alias("_start"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.length(sequence) >= k).select(F.col(ident), text.alias("_text"), (F.lit(0) if start is None else start).cast("bigint").alias("_start")).repartition(tasks, ident)
     each = rows.select(ident, "_text", "_start", F.explode(F.sequence(F.lit(0), F.length("_text") - k)).alias("_i"))
-    out = each.select(ident, F.substring("_text", F.col("_i") + 1, F.lit(k)).alias("kmer"), (F.col("_start") + F.col("_i")).alias("position"))
+    window = F.substring("_text", F.col("_i") + 1, F.lit(k))
+    each = each.where(kmer_valid(window, k)) if coded else each
+    out = each.select(ident, (kmer_code(window, k, checked=True) if coded else window).alias("kmer"), (F.col("_start") + F.col("_i")).alias("position"))
+    if coded:
+        return out
     return out.where(~F.contains("kmer", F.lit("N"))) if skip_n else out
 
 
@@ -44,7 +56,8 @@ def map_reads(reads: DataFrame, nodes: DataFrame, k: int = 31, min_hits: int = 5
 
     ``reads``: read_id, sequence; ``nodes``: id, sequence.
     """
-    found = hits(kmers(reads, "read_id", "sequence", k), kmers(nodes, "id", "sequence", k), "read_id", "id", min_hits)
+    coded = k <= 31
+    found = hits(kmers(reads, "read_id", "sequence", k, coded=coded), kmers(nodes, "id", "sequence", k, coded=coded), "read_id", "id", min_hits)
     with_text = found.join(reads.select("read_id", F.upper("sequence").alias("read_text")), "read_id").join(nodes.select("id", F.upper("sequence").alias("node_text")), "id")
     scored = with_text.select("read_id", "id", "hits", mapping_score(F.col("hits"), F.col("read_text"), F.col("node_text"), k).alias("score")).where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("score"), "id"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier, kmer_code, kmer_text
+from ..functions.text import kmer_code, kmer_text, kmer_valid, trimmed
 from ..operators.orphans import OrphanTracker, parents, references
 from ..operators.skew import per_key
 from .tables import table
 
 
 def _kmer_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "kmer").select("import_id", kmer_code(identifier("sequence")).alias("code"), "node_id", "node_count", "kmer_id")
-    return per_key(rows.where("code is not null"), ["import_id", "code"], "node_id", "node_count", "kmer_id")
+    text = F.upper(trimmed("sequence"))
+    rows = table(spark, folder, "kmer").where(kmer_valid(text)).select("import_id", kmer_code(text, checked=True).alias("code"), "node_id", "node_count", "kmer_id")
+    return per_key(rows, ["import_id", "code"], "node_id", "node_count", "kmer_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import curve, sequence
 from ..functions.statistics import bh_qvalues
-from ..functions.text import identifier
-from ..operators import annotate, association, census, embed, graph, intervals, kmers, popgen, regions, rnaseq, temporal
+from ..functions.text import identifier, kmer_text
+from ..operators import annotate, association, census, embed, graph, intervals, kmers, pipelines, popgen, regions, rnaseq, temporal
 from ..sinks import exports
 from ..sources import segments
 from .genome import PRELUDE, alignments, edges, events, gene_regions, nodes, populations, transcripts
@@ -461,7 +461,8 @@ def eqtl_significant(spark, d):
 @query("""select kmer, count(distinct id) as node_count from (select id, substr(sequence, i::int + 1, 31) as kmer from (select id, sequence, unnest(range(length(sequence) - 30)) as i from node where length(sequence) >= 31))
   where not contains(kmer, 'N') group by 1 having count(distinct id) > 1""")
 def kmer_index_counts(spark, d):
-    return kmers.index(kmers.kmers(nodes(spark, d, "sequence"), "id", "sequence", 31), "id").where("node_count > 1")
+    shared = kmers.index(kmers.kmers(nodes(spark, d, "sequence"), "id", "sequence", 31, coded=True), "id").where("node_count > 1")
+    return shared.select(kmer_text(F.col("kmer")).alias("kmer"), "node_count")
 
 
 def _cut_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -728,3 +729,89 @@ def route_annotations(spark, d):
 def segmentation(spark, d):
     texts = table(spark, d, "documents").select(F.lit("chr1").alias("header"), F.col("text").alias("sequence"))
     return segments.segments(texts, "x", 0, "s", 100).groupBy("chromosome", "scale_level").agg(F.count("*").alias("n"), F.min("start_pos").alias("first"), F.max("end_pos").alias("last"))
+
+
+# --- put together
+
+
+@query("""select region, individual_id, count(*) as n_nodes, round(avg(frequency), 6) as avg_frequency from (select 'chr1:1000000-7000000' as region, * from node where chromosome = 1 and start_pos >= 1000000 and end_pos <= 7000000
+  union all select 'chr2:0-5000000', * from node where chromosome = 2 and start_pos >= 0 and end_pos <= 5000000) group by 1, 2""")
+def batch_region_query(spark, d):
+    rows = pipelines.batch_regions(nodes(spark, d, "individual_id", "chromosome", "start_pos", "end_pos", "frequency"), [(1, 1_000_000, 7_000_000), (2, 0, 5_000_000)])
+    return rows.withColumn("avg_frequency", F.round("avg_frequency", 6))
+
+
+@query("""select individual_id, round(coalesce(sum(expression_level) filter (gene_id = 'PGXG00000000'), 0), 6) as "PGXG00000000", round(coalesce(sum(expression_level) filter (gene_id = 'PGXG00000001'), 0), 6) as "PGXG00000001"
+  from transcript_variant where gene_id in ('PGXG00000000', 'PGXG00000001') group by 1""")
+def expression_heatmap(spark, d):
+    genes = ["PGXG00000000", "PGXG00000001"]
+    rows = table(spark, d, "transcript_variant").select("individual_id", "gene_id", F.col("expression_level").alias("level"))
+    return pipelines.expression_matrix(rows, genes).withColumns({g: F.round(g, 6) for g in genes})
+
+
+@query("""select gene_id, coalesce(k.chromosome, p.chromosome) as chromosome, coalesce(k.tss, p.tss) as tss from (select gene_id, chromosome, gene_start as tss from region where gene_start < 4000000) k
+  full join (select gene_id, min(chromosome) as chromosome, min_by(gene_start, (chromosome, gene_start)) as tss from region where gene_start > 2000000 group by 1) p using (gene_id)""")
+def gene_positions(spark, d):
+    rows = gene_regions(spark, d)
+    return pipelines.gene_positions(rows.where("gene_start < 4000000").withColumnRenamed("gene_start", "tss"), rows.where("gene_start > 2000000").withColumnRenamed("gene_start", "start_pos"))
+
+
+@query("""select word, id from (select distinct substr(sequence, 11, 31) as word from node where chromosome = 1 and length(sequence) >= 300 and not contains(substr(sequence, 11, 31), 'N')) w join node n on contains(n.sequence, w.word)
+  qualify row_number() over (partition by word order by id) <= 10""")
+def kmer_containment(spark, d):
+    rows = nodes(spark, d, "sequence", "chromosome")
+    words = rows.where((F.col("chromosome") == 1) & (F.length("sequence") >= 300)).select(F.substring("sequence", 11, 31).alias("word")).where(~F.contains("word", F.lit("N"))).distinct()
+    return pipelines.containing_nodes(words, rows.select("id", "sequence"), 31)
+
+
+@query(_MAPPED + "select id, round(sum(score), 6) as total from mp group by 1")
+def node_scores(spark, d):
+    return pipelines.node_scores(_mapped(spark, d)).withColumn("total", F.round("total", 6))
+
+
+@query("select event_type, count(*) as samples, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) as duration, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1")
+def monitor_rollup(spark, d):
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return pipelines.monitor_rollup(rows, "event_type").withColumns({c: F.round(c, 6) for c in ("duration", "mean_value")})
+
+
+@query("select id from node where length(sequence) >= 300 and (length(sequence) - length(replace(sequence, 'N', ''))) <= 0.01 * length(sequence)")
+def quality_filter(spark, d):
+    return pipelines.quality_filter(nodes(spark, d, "sequence"), "sequence", 300, 0.01).select("id")
+
+
+@query(_SITES + "select distinct site from present where individual_id = 'IND000011' and site in (select site from present where individual_id = 'IND000014')")
+def shared_variants(spark, d):
+    return pipelines.shared_sites(_present(spark, d), "IND000011", "IND000014")
+
+
+@query("select r.gene_id, r.chromosome, r.gene_start, r.gene_end, r.strand from region r where not exists (select 1 from node n where n.chromosome = r.chromosome and n.start_pos <= r.gene_end and n.end_pos >= r.gene_start)")
+def untouched_regions(spark, d):
+    return pipelines.exclusive_windows(nodes(spark, d, "chromosome", "start_pos", "end_pos"), gene_regions(spark, d)).select("gene_id", "chromosome", "gene_start", "gene_end", "strand")
+
+
+@query("""select node_id, list(annotation_type order by annotation_type) as kinds, list(value order by annotation_type) as newest from (select node_id, annotation_type, max_by(value, (ts, event_id)) as value from event group by 1, 2) group by 1""")
+def annotation_maps(spark, d):
+    rows = temporal.annotation_map(events(spark, d))
+    kinds = F.array_sort(F.map_keys("annotations"))
+    return rows.select("node_id", kinds.alias("kinds"), F.transform(kinds, lambda k: F.col("annotations")[k]["value"]).alias("newest"))
+
+
+@query("""select e.eqtl_id, json_extract_string(e.allele_frequencies, '$.ref')::double as ref_frequency, json_extract_string(e.allele_frequencies, '$.alt')::double as alt_frequency, effect_direction from (select distinct eqtl_id, allele_frequencies, effect_direction from eqtl_result) e""")
+def eqtl_allele_frequencies(spark, d):
+    rows = table(spark, d, "eqtl_result").select("eqtl_id", "allele_frequencies", "effect_direction").distinct()
+    parsed = rows.withColumn("f", F.from_json("allele_frequencies", "ref double, alt double"))
+    return parsed.select("eqtl_id", F.col("f.ref").alias("ref_frequency"), F.col("f.alt").alias("alt_frequency"), "effect_direction")
+
+
+@query("""select chromosome::varchar || chr(9) || start_pos::varchar || chr(9) || id || chr(9) || 'N' || chr(9) || substr(sequence, 1, 10) || chr(9) || '60' as value from node where sequence is not null and chromosome = 1""")
+def vcf_simple_lines(spark, d):
+    rows = exports.simple_vcf(nodes(spark, d, "chromosome", "start_pos", "sequence", "frequency").where("sequence is not null and chromosome = 1"))
+    return rows.select(F.substring_index("value", "\t", 6).alias("value"))
+
+
+@query()
+def comprehensive_query(spark, d):
+    rows = _keyed(spark, d, "individual_id", "chromosome", "start_pos", "end_pos", "scale_level", "frequency")
+    facts = _keyed(spark, d, "variant_type").where("variant_type is not null").select(F.col("id").alias("node_id"), F.lit("variant").alias("annotation_type"), F.col("variant_type").alias("value"))
+    return pipelines.comprehensive_query(rows, edges(spark, d), facts, 1, 3_000_000, 6_000_000, around=3_000_000, above=0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import identifier, kmer_code, kmer_text, label
+from ..functions.text import identifier, kmer_code, kmer_text, kmer_valid, label, trimmed
 from ..plans.tables import table
 from ..storage import materialise
 from .exact_spans import shared_bases, shared_pairs
@@ -57,7 +57,8 @@ def p4_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _frequent(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "kmer").select(kmer_code(identifier("sequence")).alias("code"), "kmer_id")
+    text = F.upper(trimmed("sequence"))
+    rows = table(spark, folder, "kmer").where(kmer_valid(text)).select(kmer_code(text, checked=True).alias("code"), "kmer_id")
     return frequent(rows, "code", 0.002, "kmer_id").withColumn("sequence", kmer_text(F.col("code")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import bh_qvalues, chi2_tail, chi2_yates, odds_ratio, slope_tail
+from ..storage import ship
 
 
 def gwas(dosages: DataFrame, phenotype: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def gwas(dosages: DataFrame, phenotype: DataFrame) -> DataFrame:
 
 def with_pvalues(tests: DataFrame) -> DataFrame:
     """tests with pvalue; each distinct chi2 crosses to Python once."""
+    ship(tests.sparkSession)
     return tests.join(tests.select("chi2").distinct().withColumn("pvalue", chi2_tail("chi2")), "chi2")
 
 
@@ -69,5 +71,6 @@ def eqtl(genotypes: DataFrame, expression: DataFrame, cis: DataFrame, least: int
 
 def eqtl_significant(tests: DataFrame, below: float = 0.05, all_tests: bool = False) -> DataFrame:
     """Tests with p below the limit and their q-values, taken over the kept tests or over all."""
+    ship(tests.sparkSession)
     p = tests.withColumn("pvalue", slope_tail(F.col("r2"), F.col("n").cast("double")))
     return bh_qvalues(p, "pvalue").where(F.col("pvalue") < below) if all_tests else bh_qvalues(p.where(F.col("pvalue") < below), "pvalue")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialise
+from ..storage import materialise, ship
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -122,7 +122,7 @@ def per_key(df: DataFrame, keys: list[str], item: str, stated: str, tie: str, pa
     Repeated rows count as rows, not as items. An empty table gives no rows. Keys
     must not be floating point. Other columns are dropped, so their names are free.
     """
-    spark = df.sparkSession
+    ship(df.sparkSession)
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(
         *(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)),

@@ -248,7 +248,7 @@ p2 as (select source, to_node as cur, list_append(path, to_node) as path, score
 p3 as (select source, to_node as cur, list_append(path, to_node) as path, score * w as score from p2 join e1 on cur = from_node),
 p4 as (select source, to_node as cur, list_append(path, to_node) as path, score * w as score from p3 join e1 on cur = from_node),
 u as (select * from p0 union all select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)
-select source || '>' || cur as route, arg_min(path, {'n': len(path), 'p': path}) as path, min(len(path)) - 1 as hops, round(arg_min(score, {'n': len(path), 'p': path}), 6) as score from u where cur in (select id from dst) group by source, cur""")
+select source || '>' || cur as route, arg_min(path, {'n': len(path), 'p': path}) as path, (min(len(path)) - 1)::int as hops, round(arg_min(score, {'n': len(path), 'p': path}), 6) as score from u where cur in (select id from dst) group by source, cur""")
 def shortest_route(spark, d):
     rows = edges(spark, d)
     deg = graph.degrees(rows)

@@ -8,9 +8,13 @@ never a recomputation of all earlier rounds.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +50,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that they can load the functions that run in Python."""
+    app = spark.sparkContext.applicationId
+    home = Path(__file__).resolve().parent
+    if app in _shipped or not home.is_dir():  # a package in an archive came with the application
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="strandlake-code-")  # the driver's own; executors fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"strandlake-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    path = list(sys.path)
+    spark.sparkContext.addPyFile(archive)
+    sys.path[:] = path  # the driver keeps what it has loaded
+
+
 def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back: later plans start from those files."""
     path = new_path(df.sparkSession, label)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, ship
 
 DATA, PARITY = 8, 4
 PLACES = 2 * (DATA + PARITY)
@@ -162,6 +162,7 @@ def frequent(df: DataFrame, value: str, share: float, ident: str | None = None,
     1/share; as many, once, on the driver. The result has at most 1/share rows.
     """
     spark = df.sparkSession
+    ship(spark)
     groups = groups or max(64, 1 << int(np.ceil(np.log2(1 / share))))
     own = word is None and dict(df.dtypes)[value] == "bigint"
     code = word if word is not None else F.col(f"`{value}`") if own else F.xxhash64(F.col(f"`{value}`"))

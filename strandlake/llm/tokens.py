@@ -6,9 +6,11 @@ import base64
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,6 +29,9 @@ def encoder(path: str):
 def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
     """The number of tokens of the whole text (bigint); 0 for a null or empty text."""
 
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         encode = encoder(path).encode_ordinary

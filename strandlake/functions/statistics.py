@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..storage import materialise
+
 
 def chi2_yates(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Chi square of the table [[a, b], [c, d]] with Yates' correction; null if an expected count is 0."""
@@ -69,16 +71,25 @@ def slope_tail(r2: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([student_tail(math.sqrt(r * (k - 2) / (1 - r)) if r < 1 else math.inf, k - 2) if r == r and k > 2 else float("nan") for r, k in zip(r2, n)], dtype="float64")
 
 
-def bh_qvalues(df: DataFrame, p: str, by: list[str] | None = None, ties: str | None = None) -> DataFrame:
-    """df with ``qvalue``: the smallest p n / rank over this and all larger p, at most 1.
+def bh_qvalues(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
+    """df with ``qvalue``: the smallest p n / rank over this and all larger p, at most 1; null where p is null.
 
-    With ``by`` the correction is within groups. Without, ranks over the whole table come from
-    a histogram of distinct p-values, so only as many rows as there are distinct
-    values meet in the final window; equal p-values get equal q-values.
+    With ``by`` the correction is within groups. Equal p-values get equal q-values.
+    The distinct p-values are range partitioned; ranks and minima are taken
+    within the partitions and carried over between them by a row for each
+    partition, so no task sees a whole group.
     """
     keys = by or []
     distinct = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_n"))
-    up, down = Window.partitionBy(*keys).orderBy(p), Window.partitionBy(*keys).orderBy(F.desc(p))
-    ranked = distinct.withColumn("_rank", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_all") / F.col("_rank")).over(down))
-    return df.join(ranked.select(*keys, p, q.alias("qvalue")), [*keys, p], "left")
+    ranged = materialise(distinct.repartitionByRange(*keys, p).withColumn("_part", F.spark_partition_id()), "ranged")
+    within, parts = Window.partitionBy(*keys, "_part"), Window.partitionBy(*keys)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(parts.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "_part", before.alias("_before"), F.sum("_in").over(parts).alias("_all"))
+    ranked = ranged.join(sums, [*keys, "_part"]).withColumn("_rank", F.col("_before") + F.sum("_n").over(within.orderBy(p)))
+    ranked = ranked.withColumn("_v", F.col(p) * F.col("_all") / F.col("_rank"))
+    least = ranked.groupBy(*keys, "_part").agg(F.min("_v").alias("_least"))
+    after = F.min("_least").over(parts.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))
+    least = least.select(*keys, "_part", after.alias("_after"))
+    q = F.least(F.lit(1.0), F.min("_v").over(within.orderBy(F.desc(p))), F.col("_after"))  # least() passes over nulls
+    return df.join(ranked.join(least, [*keys, "_part"]).select(*keys, p, q.alias("qvalue")), [*keys, p], "left")

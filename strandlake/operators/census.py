@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,13 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 def routes(nodes: DataFrame, first: int = 10) -> DataFrame:
     """Per individual and haplotype: length, complexity, rarity (1 - mean frequency), span and the first nodes in order."""
-    in_order = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("chromosome", "start_pos", "id"))), 1, first), lambda x: x["id"])
-    return nodes.groupBy("individual_id", "haplotype").agg(
-        F.count("*").alias("path_length"), (F.count("*") / 100.0).alias("complexity"), (1 - F.avg("frequency")).alias("rarity"),
-        (F.max("end_pos") - F.min("start_pos")).alias("span"), in_order.alias("first_nodes"),
-    )
+    in_order = Window.partitionBy("individual_id", "haplotype").orderBy("chromosome", "start_pos", "id")
+    head = nodes.withColumn("_r", F.row_number().over(in_order)).where(F.col("_r") <= first)  # cut before the shuffle, too
+    head = head.groupBy("individual_id", "haplotype").agg(F.array_sort(F.collect_list(F.struct("_r", "id")))["id"].alias("first_nodes"))
+    stats = nodes.groupBy("individual_id", "haplotype").agg(
+        F.count("*").alias("path_length"), (F.count("*") / 100.0).alias("complexity"), (1 - F.avg("frequency")).alias("rarity"), (F.max("end_pos") - F.min("start_pos")).alias("span")
+    )
+    return stats.join(head, ["individual_id", "haplotype"])
 
 
 def annotation_summary(nodes: DataFrame) -> DataFrame:

@@ -73,6 +73,15 @@ def test_bh(spark):
         best = min(best, ps[order[rank - 1]] * 6 / rank)
         q[order[rank - 1]] = best
     assert got[:6] == pytest.approx(q) and got[6] is None
+    many = [(g, ((i * 7919) % 997 / 997) ** 2) for g in ("a", "b") for i in range(300 if g == "a" else 50)]
+    rows = bh_qvalues(spark.createDataFrame(many, "g string, p double"), "p", ["g"]).collect()
+    for g in ("a", "b"):
+        own = sorted(p for k, p in many if k == g)
+        expected, best = {}, 1.0
+        for rank in range(len(own), 0, -1):
+            best = min(best, own[rank - 1] * len(own) / rank)
+            expected[own[rank - 1]] = min(best, expected.get(own[rank - 1], 1.0))
+        assert {r["p"]: r["qvalue"] for r in rows if r["g"] == g} == pytest.approx(expected)
 
 
 def test_config(tmp_path):

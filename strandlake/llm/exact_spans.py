@@ -126,7 +126,9 @@ def _stretches(least: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(least, seed)
         for batch in batches:
-            docs, owners, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            docs, owners, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.large_string())
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            letters = memoryview(text.buffers()[2] or b"")
             for record, start, value, place, whole in scan.windows(text, True):
                 hit = np.flatnonzero(_members(batch.column(3), record, whole))
                 if not len(hit):
@@ -135,7 +137,7 @@ def _stretches(least: int, seed: int):
                 firsts = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
                 lasts = np.append(firsts[1:], len(hit)) - 1
                 a, b, r = start[hit][firsts], start[hit][lasts] + least, r[firsts]
-                pieces = [text[int(i)].as_py()[x:y] for i, x, y in zip(r, a, b)]
+                pieces = [str(letters[x:y], "ascii") for x, y in zip(offsets[r] + a, offsets[r] + b)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value[hit][firsts]), pa.array(docs[r]), pa.array(owners[r]), pa.array(a), pa.array(pieces, pa.string())], ["key", "doc", "owner", "start", "text"]
                 )

@@ -175,7 +175,7 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str, how:
     match = F.col(f"l.{key}") == F.col(f"r.{key}")
     hot = hot_keys(large, key) if hot is None else hot
     if hot:
-        is_hot = F.array_contains(F.array(*(F.lit(k) for k in hot)), F.col(key))
+        is_hot = F.col(key).isin(hot)  # a hash set
         large = large.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
         copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         small = small.withColumn("_salt", F.explode(copies))

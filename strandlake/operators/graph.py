@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, new_path
 
 
 def linear_edges(nodes: DataFrame, max_gap: int = 1000) -> DataFrame:
@@ -79,27 +79,26 @@ def shortest_paths(edges: DataFrame, routes: DataFrame, max_hops: int = 20, keep
     steps = (edges if keep is None else edges.where(keep)).select("from_node", "to_node", (F.coalesce("frequency", F.lit(0.0)) * (1 + rate)).alias("weight"))
     steps = materialise(steps.groupBy("from_node", "to_node").agg(F.max("weight").alias("weight")), "steps")
     frontier = routes.select("route", "target", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(1.0).alias("score"))
-    frontier = materialise(frontier, "frontier")
-    visited, found = frontier.select("route", "node"), [frontier.where(F.col("node") == F.col("target"))]
-    frontier = frontier.where(F.col("node") != F.col("target"))
-    for _ in range(max_hops):
+    spark, levels = edges.sparkSession, []
+
+    def read(*paths: str) -> DataFrame:  # one scan however many levels there are, so plans stay small on the driver
+        return spark.read.schema(frontier.schema).parquet(*paths)
+
+    for _ in range(max_hops + 1):
+        levels.append(new_path(spark, "frontier"))
+        frontier.write.parquet(levels[-1])
+        level, at_target = read(levels[-1]), F.col("node") == F.col("target")
+        frontier = level.join(level.where(at_target).select("route"), "route", "left_anti")
+        if frontier.isEmpty():
+            break
         grown = frontier.join(steps, frontier.node == steps.from_node).select(
             "route", "target", F.col("to_node").alias("node"), F.concat("path", F.array("to_node")).alias("path"), (F.col("score") * F.col("weight")).alias("score")
         )
-        grown = grown.join(visited, ["route", "node"], "left_anti")
+        grown = grown.join(read(*levels).select("route", "node"), ["route", "node"], "left_anti")
         if avoid is not None:
             grown = grown.join(avoid.select("route", "node"), ["route", "node"], "left_anti")
-        best = grown.groupBy("route", "target", "node").agg(F.min_by(F.struct("path", "score"), "path").alias("b")).select("route", "target", "node", "b.path", "b.score")
-        frontier = materialise(best, "frontier")
-        reached = frontier.where(F.col("node") == F.col("target"))
-        found.append(reached)
-        frontier = frontier.join(reached.select("route"), "route", "left_anti")
-        visited = visited.unionByName(frontier.select("route", "node"))
-        if frontier.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        frontier = grown.groupBy("route", "target", "node").agg(F.min_by(F.struct("path", "score"), "path").alias("b")).select("route", "target", "node", "b.path", "b.score")
+    out = read(*levels).where(F.col("node") == F.col("target"))
     return out.select("route", "path", (F.size("path") - 1).alias("hops"), "score")
 
 

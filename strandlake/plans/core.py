@@ -503,7 +503,7 @@ def mapping_accuracy(spark, d):
 @query()
 def inferred_paths(spark, d):
     found = _mapped(spark, d).select(identifier("id").alias("id"))
-    return graph.inferred_paths(found, _keyed(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "end_pos"), edges(spark, d), 1, 0, 9_000_000, 4)
+    return graph.inferred_paths(found, _keyed(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "end_pos"), edges(spark, d), 1, 0, 9_000_000)
 
 
 # --- transcripts and expression

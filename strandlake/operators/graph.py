@@ -122,7 +122,7 @@ def anchors(nodes: DataFrame, chromosome: int, position: int, around: int = 100,
     return near.groupBy("individual_id").agg(F.min(F.struct("start_pos", "id"))["id"].alias("id"))
 
 
-def diploid_routes(nodes: DataFrame, edges: DataFrame, chromosome: int, start: int, end: int, around: int = 100, above: float = 0.8, max_hops: int = 20) -> DataFrame:
+def diploid_routes(nodes: DataFrame, edges: DataFrame, chromosome: int, start: int, end: int, around: int = 100, above: float = 0.8, max_hops: int = 100) -> DataFrame:
     """Maternal and paternal route of every individual between its anchors: individual_id, haplotype, path, hops, score.
 
     The maternal route uses edges of frequency >= 0.01 without inversions; the

@@ -241,6 +241,16 @@ _ROUTES = """, src as (select from_node as id from edge group by 1 order by coun
 e1 as (select from_node, to_node, max(coalesce(frequency, 0) * (1 + coalesce(recombination_rate, 0))) as w from edge where frequency > 0.01 group by 1, 2),"""
 
 
+def _routes(spark: SparkSession, d: str, max_hops: int) -> DataFrame:
+    rows = edges(spark, d)
+    deg = graph.degrees(rows)
+    src = deg.where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(5).select(F.col("id").alias("source"))
+    dst = deg.where("in_degree > 0").orderBy(F.desc("in_degree"), "id").limit(5).select(F.col("id").alias("target"))
+    routes = src.join(F.broadcast(dst)).select(F.concat_ws(">", "source", "target").alias("route"), "source", "target")  # 25 rows
+    found = graph.shortest_paths(rows, routes, max_hops, F.col("frequency") > 0.01)
+    return found.select("route", "path", "hops", r6("score", "score"))
+
+
 @query(_ROUTES + """
 p0 as (select s.id as source, s.id as cur, [s.id] as path, 1.0::double as score from src s),
 p1 as (select source, to_node as cur, list_append(path, to_node) as path, score * w as score from p0 join e1 on cur = from_node),
@@ -250,13 +260,14 @@ p4 as (select source, to_node as cur, list_append(path, to_node) as path, score
 u as (select * from p0 union all select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)
 select source || '>' || cur as route, arg_min(path, {'n': len(path), 'p': path}) as path, (min(len(path)) - 1)::int as hops, round(arg_min(score, {'n': len(path), 'p': path}), 6) as score from u where cur in (select id from dst) group by source, cur""")
 def shortest_route(spark, d):
-    rows = edges(spark, d)
-    deg = graph.degrees(rows)
-    src = deg.where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(5).select(F.col("id").alias("source"))
-    dst = deg.where("in_degree > 0").orderBy(F.desc("in_degree"), "id").limit(5).select(F.col("id").alias("target"))
-    routes = src.join(F.broadcast(dst)).select(F.concat_ws(">", "source", "target").alias("route"), "source", "target")  # 25 rows
-    found = graph.shortest_paths(rows, routes, 4, F.col("frequency") > 0.01)
-    return found.select("route", "path", "hops", r6("score", "score"))
+    """At most 4 hops, as far as its SQL is unrolled; shortest_route_whole is the whole search."""
+    return _routes(spark, d, 4)
+
+
+@query()
+def shortest_route_whole(spark, d):
+    """The same routes within 50 hops."""
+    return _routes(spark, d, 50)
 
 
 @query(""", rare as (select distinct upper(id) as id from node where frequency < 0.2), re as (select * from edge where from_node in (select id from rare) and to_node in (select id from rare))

@@ -2,6 +2,7 @@
 
 import random
 
+from strandlake.operators import graph
 from strandlake.plans import core
 
 NODES = "id string, individual_id string, haplotype int, chromosome int, start_pos long, end_pos long, scale_level int, frequency double, variant_type string, sequence string"
@@ -25,3 +26,35 @@ def test_inferred_path_of_more_than_four_edges(spark, tmp_path):
     order = [names[0], *reversed(names[1:-1]), names[-1]]  # not the order of the nodes, which is what stands in for a missing path
     rows = core.inferred_paths(spark, write(spark, tmp_path, nodes, chain(order))).collect()
     assert [(r["route"], r["path"], r["connected"]) for r in rows] == [("IND1_h0", order, True)]
+
+
+def test_shortest_routes_as_breadth_first_search(spark, tmp_path):
+    rng = random.Random(5)
+    names = [f"N{i:02}" for i in range(14)]
+    edges = chain(names) + [(f"F{i}", "N00", f"A{i}", "linear", 0.5, 0.0) for i in range(2)] + [(f"T{i}", f"B{i}", "N13", "linear", 0.5, 0.0) for i in range(2)]
+    edges += [(f"R{i}", rng.choice(names[:4]), rng.choice(names[:4]), "linear", rng.choice([0.005, 0.5]), 0.0) for i in range(8)]
+    found = {r["route"]: (r["hops"], r["path"]) for r in core.shortest_route_whole(spark, write(spark, tmp_path, [], edges)).collect()}
+    steps = {(a, b) for _, a, b, _, f, _ in edges if f > 0.01}
+    count = lambda k: sorted((-sum(e[k] == n for e in edges), n) for n in {e[k] for e in edges})[:5]
+    expected = {}
+    for _, source in count(1):
+        level, seen, hops = {source: [source]}, {source}, 0
+        reached = {}
+        while level:
+            reached |= {n: (hops, p) for n, p in level.items()}
+            grown = {}
+            for p in sorted(level.values()):
+                for _, b in sorted(x for x in steps if x[0] == p[-1]):
+                    if b not in seen:
+                        grown[b] = min(grown.get(b, [*p, b]), [*p, b])
+            level, hops = grown, hops + 1
+            seen |= set(level)
+        expected |= {f"{source}>{target}": reached[target] for _, target in count(2) if target in reached}
+    assert found == expected and max(h for h, _ in found.values()) > 4
+
+
+def test_diploid_route_of_more_than_twenty_edges(spark):
+    names = [f"N{i:02}" for i in range(23)]
+    nodes = [(n, "IND1", 0, 1, 1000 * i, 1000 * i + 99, 0, 0.9, None, None) for i, n in enumerate(names)]
+    rows = graph.diploid_routes(spark.createDataFrame(nodes, NODES), spark.createDataFrame(chain(names), EDGES), 1, 0, 22_050).collect()
+    assert [(r["haplotype"], r["path"]) for r in rows] == [("maternal", names)]

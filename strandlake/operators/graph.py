@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,17 +104,22 @@ def shortest_paths(edges: DataFrame, routes: DataFrame, max_hops: int = 20, keep
     return out.select("route", "path", (F.size("path") - 1).alias("hops"), "score")
 
 
-def rare_paths(nodes: DataFrame, edges: DataFrame, below: float, hops: int) -> DataFrame:
-    """Trails of ``hops`` edges whose nodes all have a frequency below the limit: path, edge ids. Nodes are filtered first."""
+def rare_paths(nodes: DataFrame, edges: DataFrame, below: float, hops: int, most: int | None = None) -> DataFrame:
+    """Trails of ``hops`` to ``most`` edges (``hops`` only, by default) whose nodes all have a frequency below the limit: path, edge ids. Nodes are filtered first."""
     inside = induced(edges, nodes.where(F.col("frequency") < below)).select("edge_id", "from_node", "to_node")
     inside = materialise(inside, "rare")
     paths = inside.select(F.array("from_node", "to_node").alias("path"), F.array("edge_id").alias("used"), F.col("to_node").alias("at"))
-    for _ in range(hops - 1):
-        step = inside.select("edge_id", F.col("from_node").alias("at"), F.col("to_node").alias("then"))
-        paths = paths.join(step, "at").where(~F.array_contains("used", F.col("edge_id"))).select(
-            F.concat("path", F.array("then")).alias("path"), F.concat("used", F.array("edge_id")).alias("used"), F.col("then").alias("at")
-        )
-    return paths.select("path", "used")
+    step, out = inside.select("edge_id", F.col("from_node").alias("at"), F.col("to_node").alias("then")), []
+    for length in range(1, (most or hops) + 1):
+        if length > 1:
+            paths = paths.join(step, "at").where(~F.array_contains("used", F.col("edge_id"))).select(
+                F.concat("path", F.array("then")).alias("path"), F.concat("used", F.array("edge_id")).alias("used"), F.col("then").alias("at")
+            )
+        if length >= hops:
+            if most:
+                paths = materialise(paths, "trails")  # the next length starts from these
+            out.append(paths.select("path", "used"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def anchors(nodes: DataFrame, chromosome: int, position: int, around: int = 100, above: float = 0.8) -> DataFrame:

@@ -276,6 +276,15 @@ def rare_paths(spark, d):
     return graph.rare_paths(_keyed(spark, d, "frequency"), edges(spark, d), 0.2, 2)
 
 
+@query(""", rare as (select distinct upper(id) as id from node where frequency < 0.2), re as (select * from edge where from_node in (select id from rare) and to_node in (select id from rare)),
+  t1 as (select [from_node, to_node] as path, [edge_id] as used from re),""" + ",".join(
+    f" t{n + 1} as (select list_append(path, to_node) as path, list_append(used, edge_id) as used from t{n} join re on path[-1] = from_node where not list_contains(used, edge_id))" for n in range(1, 5)
+) + " select * from t3 union all select * from t4 union all select * from t5")
+def rare_trails(spark, d):
+    """Trails of 3 to 5 edges, the surveyed lengths; rare_paths lists those of 2."""
+    return graph.rare_paths(_keyed(spark, d, "frequency"), edges(spark, d), 0.2, 3, 5)
+
+
 @query()
 def diploid_routes(spark, d):
     rows = _keyed(spark, d, "individual_id", "chromosome", "start_pos", "end_pos", "scale_level", "frequency")

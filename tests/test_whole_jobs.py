@@ -58,3 +58,16 @@ def test_diploid_route_of_more_than_twenty_edges(spark):
     nodes = [(n, "IND1", 0, 1, 1000 * i, 1000 * i + 99, 0, 0.9, None, None) for i, n in enumerate(names)]
     rows = graph.diploid_routes(spark.createDataFrame(nodes, NODES), spark.createDataFrame(chain(names), EDGES), 1, 0, 22_050).collect()
     assert [(r["haplotype"], r["path"]) for r in rows] == [("maternal", names)]
+
+
+def test_rare_trails_of_three_to_five_edges(spark, tmp_path):
+    names = [f"N{i}" for i in range(7)]
+    nodes = [(n, "IND1", 0, 1, 0, 99, 0, 0.1, None, None) for n in names] + [("M", "IND1", 0, 1, 0, 99, 0, 0.9, None, None)]
+    edges = [*chain(names), ("X", "N2", "N1", "linear", 0.5, 0.0), ("Y", "N6", "M", "linear", 0.5, 0.0)]
+    ends = {e[0]: e[1:3] for e in edges if "M" not in e}
+    expected = [[e] for e in ends]
+    for length in range(2, 6):
+        expected += [[*t, e] for t in expected if len(t) == length - 1 for e in ends if e not in t and ends[t[-1]][1] == ends[e][0]]
+    found = core.rare_trails(spark, write(spark, tmp_path, nodes, edges)).collect()
+    assert sorted(r["used"] for r in found) == sorted(t for t in expected if len(t) >= 3)
+    assert all(r["path"] == [ends[r["used"][0]][0], *(ends[e][1] for e in r["used"])] for r in found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def query(sql: str | None = None):
     return register
 
 
+def site_query(sql: str | None = None):
+    """Registers a query over bins of 20 kb and, as name_exact, the same over exact sites."""
+
+    def register(f):
+        name = f"{f.__name__}_exact"
+        QUERIES[name] = partial(f, exact=True)
+        if sql:
+            ORACLE[name] = PRELUDE + sql.replace("start_pos // 20000", "start_pos")
+        return query(sql)(f)
+
+    return register
+
+
 def r6(c, name: str):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
 
@@ -344,53 +359,53 @@ nh as (select population, count(distinct hap) as n_hap from pp group by 1),
 fr as (select population, site, count(*) as carriers, n_hap, count(*) / n_hap as p from pp join nh using (population) group by population, site, n_hap) """
 
 
-def _present(spark: SparkSession, d: str) -> DataFrame:
-    """Sites are bins of 20 kb, so that haplotypes share some."""
+def _present(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    """Sites are bins of 20 kb, so that haplotypes share some, or with ``exact`` the variants' own positions."""
     rows = nodes(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "frequency", "scale_level", "variant_type")
-    return popgen.presence(rows, F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / 20_000).cast("string")))
+    return popgen.presence(rows, None if exact else F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / 20_000).cast("string")))
 
 
-def _by_population(spark: SparkSession, d: str) -> DataFrame:
-    return _present(spark, d).join(populations(spark, d), "individual_id")
+def _by_population(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    return _present(spark, d, exact).join(populations(spark, d), "individual_id")
 
 
-@query(_SITES + "select hap, individual_id, haplotype, site from present")
-def presence_matrix_long(spark, d):
-    return _present(spark, d)
+@site_query(_SITES + "select hap, individual_id, haplotype, site from present")
+def presence_matrix_long(spark, d, exact=False):
+    return _present(spark, d, exact)
 
 
-@query(_SITES + ", n as (select count(distinct hap) as n from present) select site, count(*) as carriers, round(count(*) / max(n), 6) as p from present, n group by 1 having count(*) / max(n) between 0.05 and 0.95")
-def allele_freq_maf(spark, d):
-    return popgen.common_sites(popgen.site_frequencies(_present(spark, d))).select("site", "carriers", r6("p", "p"))
+@site_query(_SITES + ", n as (select count(distinct hap) as n from present) select site, count(*) as carriers, round(count(*) / max(n), 6) as p from present, n group by 1 having count(*) / max(n) between 0.05 and 0.95")
+def allele_freq_maf(spark, d, exact=False):
+    return popgen.common_sites(popgen.site_frequencies(_present(spark, d, exact))).select("site", "carriers", r6("p", "p"))
 
 
-@query(_SITES + """, st as (select population, n_hap, count(*) as sites, avg(2 * p * (1 - p)) as eh, count(*) filter (carriers < n_hap) as s, sum(carriers * (n_hap - carriers)) as diff from fr group by 1, 2),
+@site_query(_SITES + """, st as (select population, n_hap, count(*) as sites, avg(2 * p * (1 - p)) as eh, count(*) filter (carriers < n_hap) as s, sum(carriers * (n_hap - carriers)) as diff from fr group by 1, 2),
 two as (select individual_id from pp group by 1 having count(distinct haplotype) = 2),
 oh as (select population, count(*) filter (h = 1) as mixed, count(distinct individual_id) as people from (select population, individual_id, site, count(distinct haplotype) as h from pp where individual_id in (select individual_id from two) group by 1, 2, 3) group by 1),
 f as (select st.*, coalesce(mixed / (people * sites), 0) as oh, list_sum([1.0 / i for i in range(1, greatest(n_hap, 2))]) as a1 from st left join oh using (population))
 select population, n_hap as population_size, sites, round(eh, 6) as expected_het, round(oh, 6) as observed_het, round(case when eh > 0 then (eh - oh) / eh else 0 end, 6) as fis,
   round(eh, 6) as pi, round(case when n_hap < 3 or s = 0 then 0 else (diff / (n_hap * (n_hap - 1) / 2) - s / a1) / sqrt(s / a1) end, 6) as tajimas_d from f""")
-def pop_metrics(spark, d):
-    rows = popgen.metrics(_by_population(spark, d), "population")
+def pop_metrics(spark, d, exact=False):
+    rows = popgen.metrics(_by_population(spark, d, exact), "population")
     return rows.withColumns({c: F.round(c, 6) for c in ("expected_het", "observed_het", "fis", "pi", "tajimas_d")})
 
 
-@query(_SITES + """select a.population as pop_a, b.population as pop_b, round(coalesce(avg(case when a.p * (1 - a.p) + b.p * (1 - b.p) > 0 then ((a.p - b.p) / 2) ** 2 / (a.p * (1 - a.p) + b.p * (1 - b.p)) end), 0), 6) as fst, count(*) as common_sites
+@site_query(_SITES + """select a.population as pop_a, b.population as pop_b, round(coalesce(avg(case when a.p * (1 - a.p) + b.p * (1 - b.p) > 0 then ((a.p - b.p) / 2) ** 2 / (a.p * (1 - a.p) + b.p * (1 - b.p)) end), 0), 6) as fst, count(*) as common_sites
   from fr a join fr b on a.site = b.site and a.population < b.population group by 1, 2""")
-def fst_pairwise(spark, d):
-    return popgen.fst(_by_population(spark, d), "population").select("pop_a", "pop_b", r6("fst", "fst"), "common_sites")
+def fst_pairwise(spark, d, exact=False):
+    return popgen.fst(_by_population(spark, d, exact), "population").select("pop_a", "pop_b", r6("fst", "fst"), "common_sites")
 
 
-@query(_SITES + "select distinct site from pp where population = 'POP0' and site not in (select site from pp where population <> 'POP0')")
-def population_specific_variants(spark, d):
-    return popgen.specific(_by_population(spark, d), "population", "POP0")
+@site_query(_SITES + "select distinct site from pp where population = 'POP0' and site not in (select site from pp where population <> 'POP0')")
+def population_specific_variants(spark, d, exact=False):
+    return popgen.specific(_by_population(spark, d, exact), "population", "POP0")
 
 
-@query(_SITES + """, h as (select hap, count(*) as n from present group by 1), t as (select count(distinct site) as sites from present)
+@site_query(_SITES + """, h as (select hap, count(*) as n from present group by 1), t as (select count(distinct site) as sites from present)
 select a.hap as hap_a, b.hap as hap_b, round((a.n + b.n - 2 * (select count(*) from present x join present y on x.site = y.site where x.hap = a.hap and y.hap = b.hap)) / sites, 6) as distance
 from h a join h b on a.hap < b.hap, t""")
-def hamming_distance(spark, d):
-    return popgen.hamming(_present(spark, d)).select("hap_a", "hap_b", r6("distance", "distance"))
+def hamming_distance(spark, d, exact=False):
+    return popgen.hamming(_present(spark, d, exact)).select("hap_a", "hap_b", r6("distance", "distance"))
 
 
 _GWAS = _SITES + """, dose as (select individual_id, site, least(2, count(*)) as dosage from present group by 1, 2),
@@ -407,23 +422,23 @@ def _phenotype(spark: SparkSession, d: str) -> DataFrame:
     return populations(spark, d).select("individual_id", (F.substring("individual_id", 4, 20).cast("bigint") % 2 == 0).alias("is_case"))
 
 
-def _gwas(spark: SparkSession, d: str) -> DataFrame:
-    return association.gwas(popgen.dosages(_present(spark, d)), _phenotype(spark, d))
+def _gwas(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    return association.gwas(popgen.dosages(_present(spark, d, exact)), _phenotype(spark, d))
 
 
-@query(_GWAS + "select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g")
-def gwas_chi2(spark, d):
-    return _gwas(spark, d).withColumns({c: F.round(c, 6) for c in ("chi2", "odds_ratio", "beta", "mean_dosage")})
+@site_query(_GWAS + "select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g")
+def gwas_chi2(spark, d, exact=False):
+    return _gwas(spark, d, exact).withColumns({c: F.round(c, 6) for c in ("chi2", "odds_ratio", "beta", "mean_dosage")})
 
 
-@query()
-def gwas_pvalue(spark, d):
-    return association.with_pvalues(_gwas(spark, d)).orderBy("pvalue", "site").limit(20)
+@site_query()
+def gwas_pvalue(spark, d, exact=False):
+    return association.with_pvalues(_gwas(spark, d, exact)).orderBy("pvalue", "site").limit(20)
 
 
-@query()
-def gwas_lambda(spark, d):
-    return association.genomic_inflation(association.with_pvalues(_gwas(spark, d)))
+@site_query()
+def gwas_lambda(spark, d, exact=False):
+    return association.genomic_inflation(association.with_pvalues(_gwas(spark, d, exact)))
 
 
 def _eqtl_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -451,28 +466,28 @@ def _expression(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("individual_id", "gene_id").agg(F.sum(F.when(~F.isnan("expression_level"), F.col("expression_level"))).alias("level"))
 
 
-def _eqtl(spark: SparkSession, d: str) -> DataFrame:
+def _eqtl(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
     """The sites of a chromosome against the genes on it."""
-    present = _present(spark, d)
+    present = _present(spark, d, exact)
     where = table(spark, d, "transcript_variant").where("chromosome is not null and gene_id is not null").groupBy("gene_id").agg(F.min("chromosome").cast("string").alias("chr"))
     sites = present.select("site", F.split_part("site", F.lit("_"), F.lit(1)).alias("chr")).distinct()
     return association.eqtl(popgen.dosages(present), _expression(spark, d), where.join(sites, "chr").select("gene_id", "site"), least=3)
 
 
-@query(_SITES + """, ex as (select individual_id, gene_id, sum(expression_level) filter (not isnan(expression_level)) as level from transcript_variant where gene_id is not null group by 1, 2),
+@site_query(_SITES + """, ex as (select individual_id, gene_id, sum(expression_level) filter (not isnan(expression_level)) as level from transcript_variant where gene_id is not null group by 1, 2),
 gc as (select gene_id, min(chromosome)::varchar as chr from transcript_variant where chromosome is not null and gene_id is not null group by 1),
 dose as (select individual_id, site, least(2, count(*)) as dosage from present group by 1, 2),
 cis as (select gene_id, site from gc join (select distinct site, split_part(site, '_', 1) as chr from present) using (chr)),
 pts as (select c.gene_id, c.site, coalesce(dosage, 0)::double as x, level as y from cis c join ex e on e.gene_id = c.gene_id and level is not null left join dose dd on dd.site = c.site and dd.individual_id = e.individual_id),
 rg as (select gene_id, site, count(*) as n, regr_slope(y, x) as slope, regr_r2(y, x) as r2, avg(x) / 2 as af from pts group by 1, 2 having count(*) >= 3 and max(x) > min(x))
 select gene_id, site, n, round(slope, 6) as slope, round(coalesce(r2, 0), 6) as r2, round(af, 6) as alt_frequency, case when slope > 0 then 'positive' else 'negative' end as direction from rg""")
-def eqtl_regression(spark, d):
-    return _eqtl(spark, d).withColumns({c: F.round(c, 6) for c in ("slope", "r2", "alt_frequency")})
+def eqtl_regression(spark, d, exact=False):
+    return _eqtl(spark, d, exact).withColumns({c: F.round(c, 6) for c in ("slope", "r2", "alt_frequency")})
 
 
-@query()
-def eqtl_significant(spark, d):
-    return association.eqtl_significant(_eqtl(spark, d)).select("gene_id", "site", "slope", "pvalue", "qvalue")
+@site_query()
+def eqtl_significant(spark, d, exact=False):
+    return association.eqtl_significant(_eqtl(spark, d, exact)).select("gene_id", "site", "slope", "pvalue", "qvalue")
 
 
 # --- k-mers and reads
@@ -662,9 +677,9 @@ def path_clusters(spark, d):
     return embed.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
 
-@query()
-def structure_pca(spark, d):
-    return embed.population_structure(_present(spark, d), 3, 5)
+@site_query()
+def structure_pca(spark, d, exact=False):
+    return embed.population_structure(_present(spark, d, exact), 3, 5)
 
 
 # --- scalar functions
@@ -800,9 +815,9 @@ def quality_filter(spark, d):
     return pipelines.quality_filter(nodes(spark, d, "sequence"), "sequence", 300, 0.01).select("id")
 
 
-@query(_SITES + "select distinct site from present where individual_id = 'IND000011' and site in (select site from present where individual_id = 'IND000014')")
-def shared_variants(spark, d):
-    return pipelines.shared_sites(_present(spark, d), "IND000011", "IND000014")
+@site_query(_SITES + "select distinct site from present where individual_id = 'IND000011' and site in (select site from present where individual_id = 'IND000014')")
+def shared_variants(spark, d, exact=False):
+    return pipelines.shared_sites(_present(spark, d, exact), "IND000011", "IND000014")
 
 
 @query("select r.gene_id, r.chromosome, r.gene_start, r.gene_end, r.strand from region r where not exists (select 1 from node n where n.chromosome = r.chromosome and n.start_pos <= r.gene_end and n.end_pos >= r.gene_start)")

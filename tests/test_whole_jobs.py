@@ -71,3 +71,13 @@ def test_rare_trails_of_three_to_five_edges(spark, tmp_path):
     found = core.rare_trails(spark, write(spark, tmp_path, nodes, edges)).collect()
     assert sorted(r["used"] for r in found) == sorted(t for t in expected if len(t) >= 3)
     assert all(r["path"] == [ends[r["used"][0]][0], *(ends[e][1] for e in r["used"])] for r in found)
+
+
+def test_exact_sites_are_not_merged(spark, tmp_path):
+    at = {"IND1": [100, 900], "IND2": [100, 5000], "IND3": [7000]}  # all within one bin of 20 kb
+    nodes = [(f"{i}{p}", i, 0, 1, p, p + 9, 0, 0.5, "SNP", None) for i, places in at.items() for p in places]
+    folder = write(spark, tmp_path, nodes, chain(["A", "B"]))
+    found = core.QUERIES["presence_matrix_long_exact"](spark, folder).collect()
+    assert sorted((r["individual_id"], r["site"]) for r in found) == sorted((i, f"1_{p}") for i, places in at.items() for p in places)
+    apart = core.QUERIES["hamming_distance_exact"](spark, folder).collect()
+    assert {(r["hap_a"], r["hap_b"]): r["distance"] for r in apart} == {("IND1_h0", "IND2_h0"): 0.5, ("IND1_h0", "IND3_h0"): 0.75, ("IND2_h0", "IND3_h0"): 0.75}

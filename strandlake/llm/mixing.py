@@ -72,6 +72,51 @@ def shares(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Da
     )
 
 
+def keeping_shares(asked: DataFrame) -> DataFrame:
+    """shares() for a smaller mixture, in which every source that can reach its target share has it exactly.
+
+    The sources that cannot are used to their caps; with F the summed share of the others, the whole is
+    caps / (1 - F). A smaller whole may make further sources able, so this is repeated, at most once for each source.
+    Sources without documents are left out and the other shares scaled to a sum of 1.
+    Read by the driver: one row for each target source. The result has the columns of shares().
+    """
+    rows = [r.asDict() for r in asked.collect()]
+    held = [r for r in rows if r["own_tokens"] > 0 and r["target_share"] > 0]
+    scale = sum(r["target_share"] for r in held)
+    share = {id(r): r["target_share"] / scale for r in held}
+    cap = lambda r: r["own_tokens"] * max(r["max_repeats"] or 0, 0)
+    whole = sum(r["wanted_tokens"] for r in rows)
+    for _ in rows:
+        short = [r for r in held if cap(r) < share[id(r)] * whole * (1 - 1e-12)]
+        if not short:
+            break
+        rest = sum(share[id(r)] for r in held) - sum(share[id(r)] for r in short)
+        whole = sum(cap(r) for r in short) / max(1 - rest, 1e-12)
+    for r in rows:
+        wanted = share[id(r)] * whole if id(r) in share else 0.0
+        r["wanted_tokens"], r["feasible"] = wanted, cap(r) >= wanted * (1 - 1e-9)
+        r["rate"] = wanted / r["own_tokens"] if r["own_tokens"] else None
+    return asked.sparkSession.createDataFrame([tuple(r[c] for c in asked.columns) for r in rows], asked.schema)
+
+
+def spread(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """source, expected_tokens and deviation: mean and standard deviation of a source's tokens over all seeds of mixture().
+
+    A document of n tokens adds n times its draw, and draws are independent, so the
+    deviation is that of one draw times the root of the summed squares of the sizes.
+    """
+    spark = documents.sparkSession
+    rows = []
+    for r in asked.collect():  # one row for each target source
+        bounds = poisson_steps(r["rate"] or 0.0, int(r["max_repeats"] or 0))
+        mean = float(sum(1 - b for b in bounds))
+        rows.append((r["source"], mean, math.sqrt(max(0.0, sum((2 * k + 1) * (1 - b) for k, b in enumerate(bounds)) - mean * mean))))
+    one = F.broadcast(spark.createDataFrame(rows, "source string, mean double, dev double"))  # as many rows as there are targets
+    n = F.coalesce("n_tokens", F.lit(0)).cast("double")
+    sums = documents.select("ident", "source", "n_tokens").distinct().groupBy("source").agg(F.sum(n).alias("s"), F.sum(n * n).alias("ss"))
+    return sums.join(one, "source").select("source", (F.col("mean") * F.col("s")).alias("expected_tokens"), (F.col("dev") * F.sqrt("ss")).alias("deviation"))
+
+
 def mixture(documents: DataFrame, asked: DataFrame, seed: int = 0) -> DataFrame:
     """The mixture, in a random order over all sources: ident, copy (from 1), source, n_tokens, position.
 

@@ -17,21 +17,25 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, ship
 
 GROUPS = 64
 SMALL = 8  # an item is small if SMALL of them fit into a container
 SALTS = 64
+LONGEST_RANK = 1 << 48  # ranks within a size stay below it
 
 
 def ranked(df: DataFrame, size: str, ident: str, name: str) -> DataFrame:
-    """df with each row's 0-based rank among the rows of its size. A size that most rows share is ranked in SALTS parts."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(SALTS)))
+    """df with each row's 0-based rank among the rows of its size. A size that most rows share is ranked in parts: SALTS, or twice the session's shuffle partitions."""
+    salts = max(SALTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
     counts = salted.groupBy(size, "_salt").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(size).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(size).alias("_size"), F.col("_salt").alias("_part"), before.alias("_before"))
@@ -206,11 +210,8 @@ def pack(df: DataFrame, ident: str, size: str, capacity: int, groups: int = GROU
     base = F.create_map(*(F.lit(x) for pair in bases.items() for x in pair))
     container = base[F.col("room")] + F.col("place")
     large = placed.join(rooms, "at").select("key", container.cast("bigint").alias("container_id"))
-    moves = spark.createDataFrame([(*row[:3], bases[row[3]] + row[4]) for row in plan], "n_tokens int, first bigint, last bigint, start bigint")
     few = ranked(cut.where((F.col("n_tokens") > 0) & (F.col("n_tokens") <= limit)), "n_tokens", "key", "place")
-    small = few.join(moves, (few.n_tokens == moves.n_tokens) & (few.place >= moves["first"]) & (few.place < moves["last"])).select(
-        "key", (F.col("start") + F.col("place") - F.col("first")).cast("bigint").alias("container_id")
-    )
+    small = _place_small(few.select("key", "n_tokens", "place"), [(size, first, bases[room] + rank) for size, first, _, room, rank in plan])
     none = cut.where("n_tokens = 0").select("key", F.lit(None).cast("bigint").alias("container_id"))
     at = large.unionByName(small).unionByName(none)
     return cut.join(at, "key").select(F.col("ident").alias(ident), "piece", "first_token", "n_tokens", "n_pieces", "container_id")
@@ -223,3 +224,28 @@ def _place_large(spark: SparkSession, items: DataFrame, places: list[tuple], sta
     at = ranked(items, "n_tokens", "key", "place").withColumn("rank", rank).withColumn("grp", F.floor(F.col("rank") / cardinality).cast("int")).withColumn("i", F.col("rank") % cardinality)
     joined = at.join(F.broadcast(table), "grp").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))  # at most a row for each group and configuration
     return joined.select("key", "n_tokens", (F.col("base") + F.floor((F.col("i") - F.col("first")) / F.col("each"))).cast("bigint").alias("at"))
+
+
+def _place_small(items: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """key and container_id of small items (key, n_tokens, place) by the plan's rows (size, first rank, container).
+
+    Each item looks its interval up by binary search, so no row meets more than one
+    line of the plan, whatever size most rows have. The plan was made by the driver
+    from histograms of at most the capacity's number of rows, and is sent once to each executor.
+    """
+    ship(items.sparkSession)
+    order = sorted(plan)
+    begins = np.array([size * LONGEST_RANK + first for size, first, _ in order], np.int64)
+    starts = np.array([container for *_, container in order], np.int64)
+    sent = items.sparkSession.sparkContext.broadcast((begins, starts))
+    key = items.schema["key"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins, starts = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(1).to_numpy().astype(np.int64) * LONGEST_RANK + batch.column(2).to_numpy()
+                line = np.searchsorted(begins, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts[line] + at - begins[line])], ["key", "container_id"])
+
+    return items.mapInArrow(place, f"key {key}, container_id bigint")

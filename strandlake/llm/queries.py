@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier, kmer_code, kmer_text, kmer_valid, label, trimmed
@@ -10,7 +10,7 @@ from ..plans.tables import table
 from ..storage import materialise
 from .exact_spans import shared_bases, shared_pairs
 from .frequent import frequent
-from .mixing import mixture, reached, shares
+from .mixing import keeping_shares, mixture, reached, shares, spread
 from .packing import pack
 from .percentiles import percentiles, runs
 from .reading import reading_levels
@@ -93,6 +93,26 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * CAPACITY))
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing, counted: every count of faults is 0."""
+    sized = table(spark, folder, "documents").select("doc_id", token_count("text").alias("all_tokens"))
+    sized = materialise(sized, "sizes")
+    packed = materialise(pack(sized, "doc_id", "all_tokens", CAPACITY), "packed")
+    used = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("n_tokens") == CAPACITY).alias("whole"), F.count("*").alias("items"))
+    containers = used.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+    in_order = Window.partitionBy("doc_id").orderBy("first_token")
+    pieces = packed.withColumn("gap", F.col("first_token") - F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens")).over(in_order), F.lit(0)))
+    per_doc = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("n"), F.max(F.abs("gap")).alias("gap"))
+    own = sized.join(per_doc, "doc_id", "full")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("all_tokens") / CAPACITY))
+    faults = own.agg(
+        F.count("*").alias("documents"), F.count_if(~F.col("placed").eqNullSafe(F.col("all_tokens"))).alias("tokens_lost"),
+        F.count_if(~F.col("n").eqNullSafe(needed)).alias("badly_cut"), F.count_if(F.col("gap") != 0).alias("gaps"),
+    )
+    full = F.col("tokens") >= 0.95 * (F.col("containers") - 1) * CAPACITY  # at most a twentieth of the room is unused
+    return faults.join(containers).select("documents", "tokens_lost", "badly_cut", "gaps", "overfull", full.alias("filled"))
+
+
 def _sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes and what the targets ask; the sizes are taken once."""
     sized = table(spark, folder, "documents").select(F.col("doc_id").alias("ident"), label("source").alias("source"), token_count("text").alias("n_tokens"))
@@ -115,6 +135,25 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached(mixture(sized, asked), asked)
 
 
+def p8_kept_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The smaller mixture, in which every source that can has its target share."""
+    sized, asked = _sources(spark, folder)
+    smaller = keeping_shares(asked)
+    return reached(mixture(sized, smaller), smaller)
+
+
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target source: the documents used too often (none), copies that are not numbered 1 to n (none), and whether its tokens lie within 4.5 standard deviations of what was to be drawn."""
+    sized, asked = _sources(spark, folder)
+    mixed = materialise(mixture(sized, asked), "mixture")
+    uses = mixed.groupBy("source", "ident").agg(F.count("*").alias("n"), F.max("copy").alias("top")).join(asked.select("source", "max_repeats"), "source")
+    faults = uses.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("n") != F.col("top")).alias("misnumbered"))
+    near = reached(mixed, asked).join(spread(sized, asked), "source", "left").join(faults, "source", "left")
+    off = F.abs(F.col("mixed_tokens") - F.coalesce("expected_tokens", F.lit(0.0)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return near.select("source", zero("too_often"), zero("misnumbered"), (off <= 4.5 * F.coalesce("deviation", F.lit(0.0)) + 1e-6).alias("as_drawn"))
+
+
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
     ratings = table(spark, folder, "reading_label").select(F.col("doc_id").alias("ident"), "rater", F.col("reading_level").alias("level"))
     return reading_levels(table(spark, folder, "documents"), "doc_id", "text", ratings)
@@ -128,7 +167,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_shared, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_shared, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p7_invariants, p8_found, p8_mixture, p8_shares, p8_kept_shares, p8_invariants, p9_found, p9_levels)}
 
 _TPM = """
 with r as (select distinct result_id, upper(trim(gene_id, ' ' || chr(9))) as gene_id, tpm from expression_result
@@ -155,4 +194,6 @@ ORACLE = {
     "p4_ranked": _BEST + "select gene_id, pvalue, eqtl_id, rank from o where rank <= 5",
     "p5_found": _FREQUENT + "select sequence from c",
     "p5_counts": _FREQUENT + "select * from c",
+    "p7_invariants": "select count(*) as documents, 0 as tokens_lost, 0 as badly_cut, 0 as gaps, 0 as overfull, true as filled from documents",
+    "p8_invariants": "select lower(trim(source, ' ' || chr(9))) as source, 0 as too_often, 0 as misnumbered, true as as_drawn from mix_target",
 }

@@ -1,10 +1,13 @@
 """The best N items of every group by merging sorted runs with a loser tree.
 
-Each task sorts its rows into a run ordered by (group, score, id) and keeps N
+Each task sorts its rows into runs ordered by (group, score, id) and keeps N
 distinct items a group, so the largest group sends no more than N rows from any
-run. Runs are shuffled into buckets by group. A bucket's runs are merged by a
-loser tree; after N outputs of a group every run that still stands in that group
-is moved by binary search to its next group.
+run. The runs are stored, cut into buckets by group, and merged FAN_IN at a time by
+a loser tree; after N outputs of a group every run that still stands in that group
+is moved by binary search to its next group. What a merge leaves is a run again,
+so a group in very many runs is merged level by level: no task ever holds more
+than FAN_IN runs of a bucket, and the number of buckets follows from the stored
+runs' size.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialise, ship
 
-RUN_ROWS = 500_000
+RUN_BYTES = 16 << 20  # of Arrow rows that are sorted into one run
+FAN_IN = 64
+BUCKET_ROWS = 500_000  # of all runs together
+RUN = "grp string, score double, ident bigint, run bigint"
 
 
 class LoserTree:
@@ -86,8 +92,8 @@ def _runs(n: int):
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            if size >= RUN_ROWS:
+            size += batch.nbytes
+            if size >= RUN_BYTES:
                 yield from _run(pa.Table.from_batches(held), n, number)
                 number, held, size = number + 1, [], 0
         if size:
@@ -117,47 +123,82 @@ def merge_runs(runs: list[tuple[list, list, list]], n: int) -> Iterator[tuple[in
         tree.replace((groups[i], scores[i], idents[i]) if i < len(groups) else None)
 
 
-def _merge(n: int):
+def _merged(rows: pa.Table, n: int) -> pa.Table:
+    """The runs of one table merged: grp, score, ident, rank."""
+    group, names = _codes(rows.column(0))
+    score, ident, run = (rows.column(i).to_numpy() for i in (1, 2, 3))
+    by_run = np.argsort(run, kind="stable")  # a run's rows arrive in its order
+    runs = []
+    for part in np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1):
+        g, s, i = group[part], score[part], ident[part]
+        ahead = (g[1:] > g[:-1]) | ((g[1:] == g[:-1]) & ((s[1:] > s[:-1]) | ((s[1:] == s[:-1]) & (i[1:] > i[:-1]))))
+        if not ahead.all():
+            order = np.lexsort((i, s, g))
+            g, s, i = g[order], s[order], i[order]
+        runs.append((g.tolist(), s.tolist(), i.tolist()))
+    g, s, i, rank = zip(*merge_runs(runs, n))
+    return pa.table({"grp": names.take(pa.array(g, pa.int64())), "score": pa.array(s, pa.float64()), "ident": pa.array(i, pa.int64()), "rank": pa.array(rank, pa.int32())})
+
+
+def _merge(n: int, last: bool):
+    """Merges the rows of each (bucket, merge) as they arrive, one after the other: to ranked items, or to a run with the merge's number."""
+
+    def flush(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        done = _merged(pa.Table.from_batches(held).drop_columns(["bucket", "merge"]), n)
+        if not last:
+            done = done.drop_columns(["rank"]).append_column("run", pa.array(np.full(len(done), number, np.int64)))
+        yield from done.to_batches(max_chunksize=20_000)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        group, names = _codes(rows.column(0))
-        score, ident, run = (rows.column(i).to_numpy() for i in (1, 2, 3))
-        by_run = np.argsort(run, kind="stable")  # a run's rows arrive in its order
-        runs = []
-        for part in np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1):
-            g, s, i = group[part], score[part], ident[part]
-            ahead = (g[1:] > g[:-1]) | ((g[1:] == g[:-1]) & ((s[1:] > s[:-1]) | ((s[1:] == s[:-1]) & (i[1:] > i[:-1]))))
-            if not ahead.all():
-                order = np.lexsort((i, s, g))
-                g, s, i = g[order], s[order], i[order]
-            runs.append((g.tolist(), s.tolist(), i.tolist()))
-        out = list(merge_runs(runs, n))
-        g, s, i, rank = zip(*out)
-        table = pa.table({"grp": names.take(pa.array(g, pa.int64())), "score": pa.array(s, pa.float64()), "ident": pa.array(i, pa.int64()), "rank": pa.array(rank, pa.int32())})
-        yield from table.to_batches(max_chunksize=20_000)
+        held, unit = [], None
+        for batch in batches:
+            bucket, number = batch.column("bucket").to_numpy(), batch.column("merge").to_numpy()
+            ends = [*(np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1), batch.num_rows]
+            start = 0
+            for end in ends:
+                if end == start:
+                    continue
+                if held and unit != (bucket[start], number[start]):
+                    yield from flush(held, int(unit[1]))
+                    held = []
+                unit = (bucket[start], number[start])
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held:
+            yield from flush(held, int(unit[1]))
 
     return merge
 
 
-def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, buckets: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, buckets: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """Per group the n items with the smallest score; on equal scores the smaller id goes first.
 
     Result: group, score (double), id (bigint), rank (1 to n), under df's names.
     Rows with a null group, score or id and with a NaN score take no part. Each id
     counts once in a group, with its smallest score. Groups with fewer than n items
     give all of them; an empty table gives no rows. For the largest scores pass the
-    negated score. A bucket holds at most n rows of each group from each run;
-    ``buckets`` (default: the session's shuffle partitions) sets its size.
+    negated score. A merge holds at most n rows of each of its bucket's groups from
+    each of ``fan_in`` runs; ``buckets`` (default: one for BUCKET_ROWS stored rows, at
+    least the session's shuffle partitions) says how many buckets there are.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     g, s, i = (F.col(f"`{c}`") for c in (group, score, ident))
     rows = df.select(g.cast("string").alias("grp"), s.cast("double").alias("score"), i.cast("bigint").alias("ident"))
     rows = rows.where("grp is not null and score is not null and not isnan(score) and ident is not null")
-    runs = rows.mapInArrow(_runs(n), "grp string, score double, ident bigint, run bigint")
-    bucketed = runs.repartition(buckets, "grp") if buckets else runs.repartition("grp")
-    return bucketed.mapInArrow(_merge(n), "grp string, score double, ident bigint, rank int").select(
+    runs = materialise(rows.mapInArrow(_runs(n), RUN), "runs")
+    stored, most = runs.agg(F.count("*"), F.approx_count_distinct("run")).first()
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def merged(runs: DataFrame, merges: int, schema: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("run"), F.lit(merges)).cast("bigint").alias("merge")
+        units = runs.select("grp", "score", "ident", "run", bucket, number).repartition("bucket", "merge").sortWithinPartitions("bucket", "merge", "run", "grp", "score", "ident")
+        return units.mapInArrow(_merge(n, schema != RUN), schema)
+
+    while most > fan_in:
+        most = -(-most // (fan_in // 2))  # twice as many as needed: the hash does not cut evenly
+        runs = materialise(merged(runs, most, RUN), "runs")
+    return merged(runs, 1, "grp string, score double, ident bigint, rank int").select(
         F.col("grp").alias(group), F.col("score").alias(score), F.col("ident").alias(ident), "rank"
     )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm.mixing import capped_mean, mixture, poisson_steps, reached, shares
+from strandlake.llm.mixing import capped_mean, keeping_shares, mixture, poisson_steps, reached, shares, spread
 
 DOCS, TARGETS = "ident bigint, source string, n_tokens bigint", "source string, target_share double, max_repeats int"
 
@@ -46,6 +46,27 @@ def test_capped_source_is_used_fully(spark):
     assert got["a"]["mixed_tokens"] == 300 and not got["a"]["feasible"]
 
 
+def test_smaller_mixture_keeps_the_shares_of_all_that_can(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(4000)] + [(9000 + i, "c", 10) for i in range(100)], DOCS)
+    asked = shares(docs, spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.2, 3), ("none", 0.1, 2)], TARGETS))
+    smaller = {r["source"]: r for r in keeping_shares(asked).collect()}
+    whole = sum(r["wanted_tokens"] for r in smaller.values() if r["own_tokens"])
+    assert abs(smaller["c"]["wanted_tokens"] - 3000) < 1e-6 and abs(whole - 3000 / (0.2 / 0.9)) < 1e-6 and smaller["none"]["rate"] is None
+    got = {r["source"]: r["mixed_share"] for r in reached(mixture(docs, keeping_shares(asked)), asked).collect()}
+    assert abs(got["a"] - 0.4 / 0.9) < 0.03 and abs(got["b"] - 0.3 / 0.9) < 0.03 and abs(got["c"] - 0.2 / 0.9) < 0.03
+    assert keeping_shares(shares(docs, spark.createDataFrame([], TARGETS))).collect() == []
+
+
+def test_spread_is_that_of_many_seeds(spark):
+    docs = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(200)] + [(900, "z", 4), (901, "a", None)], DOCS)
+    asked = shares(docs, spark.createDataFrame([("a", 1.3, 3)], TARGETS))
+    row = spread(docs, asked).first()
+    sums = [mixture(docs, asked, seed).agg(F.sum("n_tokens")).first()[0] for seed in range(0, 60, 2)]
+    mean = sum(sums) / len(sums)
+    dev = (sum((x - mean) ** 2 for x in sums) / (len(sums) - 1)) ** 0.5
+    assert abs(mean - row["expected_tokens"]) < row["deviation"] and 0.6 < dev / row["deviation"] < 1.5
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([], TARGETS)
     asked = shares(docs, targets)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.llm.reading import plain, reading_levels, sentence_count, words
+from strandlake.llm.reading import BOUNDS, _familiar, _take_apart, plain, reading_levels, sentence_count, words
 
 DOCS, RATINGS = "d bigint, t string", "ident bigint, rater string, level int"
 EASY = "the dog can see a small red ball and we all like to run in the sun with him".split()
@@ -43,8 +43,20 @@ def test_texts_without_words_and_no_ratings(spark):
     assert reading_levels(spark.createDataFrame([], DOCS), "d", "t", spark.createDataFrame(ratings, RATINGS)).collect() == []
 
 
-def test_words_and_sentences(spark):
+def test_words_and_sentences():
     text = "<b>The dog's</b> k2 ball; see p. 7!\n- one\n- two &amp; three? NNNNNNNNACGT 42"
-    row = spark.createDataFrame([(text,)], "t string").select(words(plain(F.col("t"))).alias("w"), sentence_count(plain(F.col("t"))).alias("s")).first()
-    assert row["w"] == ["the", "dog's", "ball", "see", "p", "one", "two", "three"]
-    assert row["s"] == 3  # "7!" has no word
+    assert words(plain(text)) == ["the", "dog's", "ball", "see", "p", "one", "two", "three"]
+    assert sentence_count(plain(text)) == 3  # "7!" has no word
+
+
+def test_lists_hold_words_by_document_frequency(spark):
+    rows = [(i, "the of " + ("and " * 3 if i % 2 else "") + (f"only{chr(97 + i)} " if i < 20 else "")) for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "ident bigint, text string").mapInArrow(_take_apart, "ident bigint, sentences int, words array<string>, times array<int>")
+    place = _familiar(df)
+    assert set(place) == {"the", "of", "and"} and place["the"] == 0 and abs(BOUNDS[place["and"]] - 0.5) < 0.1 and BOUNDS[place["and"]] <= 0.5
+    out = {r["d"]: r for r in reading_levels(spark.createDataFrame(rows, DOCS), "d", "t", spark.createDataFrame([], RATINGS)).collect()}
+    assert abs(out[1]["unfamiliar"] - 1 / 6) < 1e-9 and out[21]["unfamiliar"] == 0.0 and out[1]["sentence"] == 6.0 and out[901]["unfamiliar"] is None
+
+
+def test_very_many_open_brackets_and_a_long_run_of_letters():
+    assert words(plain("<" * 50_000 + " end")) == ["end"] and words(plain("a" * 50_000 + "1")) == []

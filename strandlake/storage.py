@@ -75,4 +75,31 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back: later plans start from those files."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strandlake_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes the files of materialise()d tables that nothing will read any more."""
+    for df in frames:
+        if path := getattr(df, "_strandlake_path", None):
+            drop_path(df.sparkSession, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Writes an empty file; its being there is the sign that what came before is complete."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()

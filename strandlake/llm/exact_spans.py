@@ -12,10 +12,15 @@ through every shard costs corpus x corpus, so records are first routed:
 * Shards. The stretches around one seed are a shard. Equal stretches are one class,
   however many records hold it. The automaton of a shard's classes is built, its
   states are marked with the classes and records in which they occur, and every
-  class is streamed through it. A shard of very many classes is cut into blocks, each
-  block's automaton meets each later block.
+  class is streamed through it. A shard of one class needs no automaton.
+* Crowded seeds. Where a seed has more than CROWD classes, each window of the least
+  length is a class of its own, found by grouping the windows' letters: the work is
+  linear in the classes, whatever their number.
 
 Hashes only route; what comes out was matched letter by letter.
+
+A reference set of limited size goes the direct way: spans_in_reference() sends each
+shard's automaton to all executors and streams every record through it.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import salted_join
+from ..operators.skew import hot_keys, hot_of, salted_join
 from ..storage import materialise, ship
 
 CHUNK = 1 << 21
-BLOCK = 400
+CROWD = 400
+SHARD_LETTERS = 1 << 20  # of a reference in one automaton, at most some 60 MB
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTERS = "ACGT"
@@ -205,53 +211,42 @@ class SuffixAutomaton:
                 yield i + 1, at
 
 
-def match_shard(classes: list[tuple[int, bytes, int, int, bool, bool]], least: int) -> Iterator[tuple[int, int | None, int | None, int | None]]:
+def match_shard(classes: list[tuple[int, bytes, int, int]], least: int) -> Iterator[tuple[int, int | None, int | None, int | None]]:
     """Links (a, b, null, null) between classes with a common window, a <= b, and shared spans (a, null, start, end).
 
-    A class is (name, text, smallest and largest owner, whether it is reference, whether it is streamed).
+    A class is (name, text, smallest and largest owner).
     """
-    automaton = SuffixAutomaton([c[1] for c in classes if c[4]])
+    if len(classes) == 1:  # its records have all of it
+        name, text, low, high = classes[0]
+        if low < high and len(text) >= least:
+            yield name, name, None, None
+            yield name, None, 0, len(text)
+        return
+    automaton = SuffixAutomaton([c[1] for c in classes])
     held: dict[int, list] = {}
-    for name, text, low, high, reference, _ in classes:
-        if reference:
-            for _, state in automaton.statistics(text, least):
-                mark = held.setdefault(state, [low, high, []])
-                mark[0], mark[1] = min(mark[0], low), max(mark[1], high)
-                if not mark[2] or mark[2][-1] != name:
-                    mark[2].append(name)
-    spans: dict[int, list[list[int]]] = {}
-
-    def shared(name: int, end: int) -> None:
-        own = spans.setdefault(name, [])
-        if own and own[-1][1] >= end - least:
-            own[-1][1] = max(own[-1][1], end)
-        else:
-            own.append([end - least, end])
-
-    met: dict[int, tuple[int, int]] = {}
-    for name, text, low, high, reference, streamed in classes:
-        if not streamed:
-            continue
-        linked = set()
-        for end, state in automaton.statistics(text, least):
+    ends = []  # of each class, so that it is streamed once
+    for name, text, low, high in classes:
+        own = list(automaton.statistics(text, least))
+        ends.append(own)
+        for _, state in own:
+            mark = held.setdefault(state, [low, high, []])
+            mark[0], mark[1] = min(mark[0], low), max(mark[1], high)
+            if not mark[2] or mark[2][-1] != name:
+                mark[2].append(name)
+    for (name, *_), own in zip(classes, ends):
+        linked, spans = set(), []
+        for end, state in own:
             first, last, names = held[state]
-            if min(first, low) < max(last, high):
-                shared(name, end)
+            if first < last:
                 linked.update(names)
-                if not reference:  # the other block's classes learn of this one
-                    seen = met.get(state, (low, high))
-                    met[state] = min(seen[0], low), max(seen[1], high)
+                if spans and spans[-1][1] >= end - least:
+                    spans[-1][1] = max(spans[-1][1], end)
+                else:
+                    spans.append([end - least, end])
         for other in linked:
-            if not reference or name <= other:
-                yield min(name, other), max(name, other), None, None
-    if met:
-        for name, text, low, high, reference, _ in classes:
-            if reference:
-                for end, state in automaton.statistics(text, least):
-                    if state in met and min(met[state][0], low) < max(met[state][1], high):
-                        shared(name, end)
-    for name, own in spans.items():
-        for start, end in own:
+            if name <= other:
+                yield name, other, None, None
+        for start, end in spans:
             yield name, None, start, end
 
 
@@ -261,18 +256,18 @@ def _match(least: int):
 
         def flush() -> None:
             if classes:
-                out.extend((shard[0], *x) for x in match_shard(classes, least))
+                out.extend((shard, *x) for x in match_shard(classes, least))
 
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["key", "a", "b", "span_start", "span_end"])
 
         table = bytes.maketrans(b"ACGT", bytes(range(4)))
         for batch in batches:
-            for key, unit, name, text, low, high, reference, streamed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, unit) != shard:
+            for key, name, text, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != shard:
                     flush()
-                    shard, classes = (key, unit), []
-                classes.append((name, text.encode().translate(table), low, high, reference, streamed))
+                    shard, classes = key, []
+                classes.append((name, text.encode().translate(table), low, high))
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
@@ -287,14 +282,12 @@ def _in_several(keyed: DataFrame) -> DataFrame:
     """keyed (key, doc, owner) without the keys of a single owner, as the list of keys of each doc."""
     several = keyed.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("n")).where("low < high")
     several = materialise(several, "several")
-    total = several.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in several.where(F.col("n") > total / 1000).limit(1000).select("key").collect()] if total > 1_000_000 else []
-    kept = salted_join(keyed, several.select("key"), "key", "doc", "left_semi", hot=hot)
+    kept = salted_join(keyed, several.select("key"), "key", "doc", "left_semi", hot=hot_of(several, "key", "n"))
     return kept.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # no more than the doc has places
 
 
 def _matches(df: DataFrame, ident: str, sequence: str, least: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc, owner, ident, text), members (key, name, doc, ident, start) and matches (key, a, b, span_start, span_end)."""
+    """docs (doc, owner, ident, text), members (class, doc, start) and matches (a, b, span_start, span_end); a class is named key:name."""
     ship(df.sparkSession)
     text = F.regexp_replace(F.upper(F.col(f"`{sequence}`")), "[^ACGT]", "N")
     docs = df.select(F.col(f"`{ident}`").alias("ident"), text.alias("text")).where(F.col("ident").isNotNull() & F.col("text").isNotNull()).distinct()
@@ -306,19 +299,47 @@ def _matches(df: DataFrame, ident: str, sequence: str, least: int, seed: int) ->
     hit = docs.join(_in_several(whole), "doc").select(*cols, "keys")
     stretches = hit.mapInArrow(_stretches(least, seed), f"{out}, start bigint, text string")
     stretches = materialise(stretches.withColumn("name", F.xxhash64("text")), "stretches")
-    classes = stretches.groupBy("key", "name", "text").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
-    blocks = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    own = F.pmod("name", F.col("n"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    units = classes.join(blocks, "key").select("key", "name", "text", "low", "high", "n", own.alias("own"), other)
-    unit = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
-    units = units.select(
-        "key", unit.alias("unit"), "name", "text", "low", "high", (F.col("own") <= F.col("other")).alias("reference"), (F.col("own") >= F.col("other")).alias("streamed")
-    )
-    shards = units.repartition("key", "unit").sortWithinPartitions("key", "unit", "name")
-    matches = materialise(shards.mapInArrow(_match(least), "key bigint, a bigint, b bigint, span_start bigint, span_end bigint"), "matches")
-    members = stretches.select("key", "name", "doc", "start")
-    return docs, members, matches
+    classes = materialise(stretches.groupBy("key", "name", "text").agg(F.min("owner").alias("low"), F.max("owner").alias("high")), "classes")
+    crowded = classes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowded = materialise(crowded, "crowded")
+    named = F.concat_ws(":", "key", "name").alias("class")
+    links = "key bigint, a bigint, b bigint, span_start bigint, span_end bigint"
+    few, members = classes, stretches
+    if some := not crowded.isEmpty():
+        hot = hot_of(crowded, "key", "n")
+        few, members = (salted_join(x, crowded.select("key"), "key", "name", "left_anti", hot=hot) for x in (classes, stretches))
+    shards = few.select("key", "name", "text", "low", "high").repartition("key").sortWithinPartitions("key", "name")
+    matches = shards.mapInArrow(_match(least), links)
+    a, b = (F.concat_ws(":", "key", c) for c in ("a", "b"))
+    matches = matches.select(a.alias("a"), F.when(F.col("b").isNotNull(), b).alias("b"), "span_start", "span_end")
+    members = members.select(named, "doc", "start")
+    if some:
+        each = salted_join(stretches, crowded.select("key"), "key", "doc", "left_semi", hot=hot)
+        each = each.select("key", "doc", "owner", "start", F.explode(F.sequence(F.lit(0), F.length("text") - least)).alias("i"), "text")
+        each = each.select(F.concat_ws(":", "key", F.substring("text", F.col("i") + 1, F.lit(least))).alias("class"), "doc", "owner", (F.col("start") + F.col("i")).alias("start"))
+        each = materialise(each, "crowd")
+        several = each.groupBy("class").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("n")).where("low < high")
+        several = materialise(several, "shared")
+        own = salted_join(each, several.select("class"), "class", "doc", "left_semi", hot=hot_of(several, "class", "n"))
+        members = members.unionByName(own.select("class", "doc", "start"))
+        none = F.lit(None).cast("bigint")
+        matches = matches.unionByName(several.select(F.col("class").alias("a"), F.col("class").alias("b"), none.alias("span_start"), none.alias("span_end")))
+        whole_window = several.select(F.col("class").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("span_start"), F.lit(least).cast("bigint").alias("span_end"))
+        matches = matches.unionByName(whole_window)
+    return docs, members, materialise(matches, "matches")
+
+
+def shared_classes(df: DataFrame, ident: str, sequence: str, least: int = 120, seed: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The same as shared_pairs() without listing pairs: membership (class, ident) and links (a, b) of classes, a <= b.
+
+    Two ids have a common stretch if they are members of linked classes; a class
+    linked with itself joins all its members. Their size is that of the input,
+    however many records hold a stretch.
+    """
+    docs, members, matches = _matches(df, ident, sequence, least, seed)
+    links = matches.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = members.join(docs.select("doc", "ident"), "doc").select("class", "ident").distinct()
+    return named, links
 
 
 def shared_pairs(df: DataFrame, ident: str, sequence: str, least: int = 120, seed: int = 64) -> DataFrame:
@@ -328,16 +349,35 @@ def shared_pairs(df: DataFrame, ident: str, sequence: str, least: int = 120, see
     Rows with a null id or sequence, and sequences shorter than ``least``, pair with
     nothing. Repeated rows count once; of an id with several sequences each counts.
     An empty table gives no rows. ``seed`` (at most ``least``) trades routing effort for selectivity.
+    Classes that hold many of the records are spread over many tasks, since their pairs are many.
     """
-    docs, members, matches = _matches(df, ident, sequence, least, seed)
-    links = matches.where("b is not null").select("key", "a", "b").distinct()
-    named = members.join(docs.select("doc", "ident"), "doc").select("key", "name", "ident").distinct()
-    left = named.select("key", F.col("name").alias("a"), F.col("ident").alias("one"))
-    right = named.select("key", F.col("name").alias("b"), F.col("ident").alias("two"))
-    pairs = links.join(left, ["key", "a"]).join(right, ["key", "b"]).where("one <> two")
+    named, links = shared_classes(df, ident, sequence, least, seed)
+    named, links = materialise(named, "named"), materialise(links, "links")
+    hot = hot_keys(named, "class")
+    one, two = named.select("class", F.col("ident").alias("one")), named.select("class", F.col("ident").alias("two"))
+    within = salted_join(one.join(links.where("a = b").select(F.col("a").alias("class")), "class", "left_semi"), two, "class", "one", on=F.col("one") < F.col("two"), hot=hot)
+    across = salted_join(one, links.where("a <> b").select(F.col("a").alias("class"), "b"), "class", "one", hot=hot)
+    across = salted_join(across.select("one", F.col("b").alias("class")), two, "class", "one", on=F.col("one") != F.col("two"), hot=hot)
+    pairs = within.select("one", "two").unionByName(across.select("one", "two"))
     return pairs.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b")).distinct()
 
 
+def _spans(docs: DataFrame, members: DataFrame, matches: DataFrame) -> DataFrame:
+    """doc, first, last: the shared spans of each doc, those that overlap or touch joined to one."""
+    spans = matches.where("b is null").select(F.col("a").alias("class"), "span_start", "span_end").distinct()
+    placed = salted_join(members, spans, "class", "doc")
+    return _joined(placed.select("doc", (F.col("start") + F.col("span_start")).alias("first"), (F.col("start") + F.col("span_end")).alias("last")))
+
+
+def _joined(placed: DataFrame) -> DataFrame:
+    """Spans (doc, first, last) with those that overlap or touch joined to one."""
+    before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    opens = (F.coalesce(F.max("last").over(before), F.lit(-1)) < F.col("first")).cast("int")
+    number = F.sum("opens").over(Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = placed.distinct().withColumn("opens", opens).withColumn("number", number)
+    return numbered.groupBy("doc", "number").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("number")
+
+
 def shared_bases(df: DataFrame, ident: str, sequence: str, least: int = 120, seed: int = 64) -> DataFrame:
     """Per id: ident, length and shared, how many of its letters lie in stretches shared with another id.
 
@@ -345,12 +385,121 @@ def shared_bases(df: DataFrame, ident: str, sequence: str, least: int = 120, see
     several sequences lengths and shared letters add up.
     """
     docs, members, matches = _matches(df, ident, sequence, least, seed)
-    spans = matches.where("b is null").select("key", F.col("a").alias("name"), "span_start", "span_end").distinct()
-    keyed = members.withColumn("class", F.concat_ws(":", "key", "name"))
-    placed = salted_join(keyed, spans.select(F.concat_ws(":", "key", "name").alias("class"), "span_start", "span_end"), "class", "doc")
-    placed = placed.select("doc", (F.col("start") + F.col("span_start")).alias("first"), (F.col("start") + F.col("span_end")).alias("last")).distinct()
-    before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.coalesce(F.max("last").over(before), F.lit(0))
-    fresh = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first"), covered))
-    per_doc = placed.withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("shared"))
+    per_doc = _spans(docs, members, matches).groupBy("doc").agg(F.sum(F.col("last") - F.col("first")).alias("shared"))
     return docs.join(per_doc, "doc", "left").groupBy(F.col("ident").alias(ident)).agg(F.sum(F.length("text")).alias("length"), F.sum(F.coalesce("shared", F.lit(0))).alias("shared"))
+
+
+def _cut(docs: DataFrame, spans: DataFrame, ident: str, sequence: str) -> DataFrame:
+    of = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"))  # no more than the doc's length / least
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_spans.last"))
+    begins = F.concat(F.col("_spans.first"), F.array(F.length("text").cast("bigint")))
+    pieces = F.transform(ends, lambda e, i: F.substring("text", (e + 1).cast("int"), (F.get(begins, i) - e).cast("int")))
+    left = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    cut = docs.join(of, "doc", "left").select("ident", F.length("text").alias("_length"), left.alias("_left"))
+    return cut.select(F.col("ident").alias(ident), F.col("_left").alias(sequence), (F.col("_length") - F.length("_left")).alias("removed"))
+
+
+def without_shared(df: DataFrame, ident: str, sequence: str, least: int = 120, seed: int = 64) -> DataFrame:
+    """ident, sequence without its stretches shared with another id, and removed, the number of letters taken out.
+
+    Each of an id's distinct sequences gives a row, in upper case, other letters than A, C, G, T as N. As shared_pairs() otherwise.
+    """
+    docs, members, matches = _matches(df, ident, sequence, least, seed)
+    return _cut(docs, _spans(docs, members, matches), ident, sequence)
+
+
+class ArrayAutomaton:
+    """A SuffixAutomaton as arrays, through which many texts are streamed side by side."""
+
+    def __init__(self, texts: list[bytes]):
+        made = SuffixAutomaton(texts)
+        self.next, self.link, self.length = np.array(made.next, np.int32), np.array(made.link, np.int32), np.array(made.length, np.int32)
+
+    def matched(self, rows: np.ndarray) -> np.ndarray:
+        """Matching statistics: for each place of each row (codes, 4 for any other letter) the longest suffix up to it that the texts have."""
+        state = np.zeros(len(rows), np.int32)
+        size = np.zeros(len(rows), np.int32)
+        out = np.zeros(rows.shape, np.int32)
+        for i in range(rows.shape[1]):
+            c = rows[:, i]
+            state[c > 3] = size[c > 3] = 0
+            live = np.flatnonzero(c < 4)
+            then = self.next[4 * state[live] + c[live]]
+            while len(stuck := np.flatnonzero((then < 0) & (state[live] > 0))):
+                at = live[stuck]
+                state[at] = self.link[state[at]]
+                size[at] = self.length[state[at]]
+                then[stuck] = self.next[4 * state[at] + c[at]]
+            on = live[then >= 0]
+            state[on] = then[then >= 0]
+            size[on] += 1
+            out[:, i] = size
+        return out
+
+
+def _stream(sent, least: int):
+    """Of (doc, start, text): spans (doc, first, last) of at least ``least`` letters that the broadcast automaton has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs, begin = (batch.column(i).to_numpy() for i in (0, 1))
+            texts = [CODES[np.frombuffer(t.encode(), np.uint8)] for t in batch.column(2).to_pylist()]
+            found = []
+            order = np.argsort([len(t) for t in texts])
+            for part in np.array_split(order, -(-len(order) // 512)):
+                rows = np.full((len(part), len(texts[part[-1]])), 4, np.uint8)
+                for k, i in enumerate(part):
+                    rows[k, : len(texts[i])] = texts[i]
+                size = sent.value.matched(rows)
+                row, end = np.nonzero(size >= least)
+                found.append((docs[part[row]], begin[part[row]] + end + 1 - size[row, end], begin[part[row]] + end + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], ["doc", "first", "last"])
+
+    return run
+
+
+def spans_in_reference(df: DataFrame, ident: str, sequence: str, reference: list[str], least: int = 120, piece: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """docs (doc, ident, text) and spans (doc, first, last): the maximal stretches of at least ``least`` letters that stand in a text of the reference.
+
+    The reference is held by the caller, so it is of limited size; it is cut into shards of
+    at most SHARD_LETTERS (a longer text into pieces that overlap by least - 1 letters), and every record is
+    streamed through each shard's automaton, which is broadcast. Longer records are streamed in
+    pieces that overlap in the same way, so one long record is not one task's work.
+    Letter case and other letters as in shared_pairs().
+    """
+    spark = df.sparkSession
+    ship(spark)
+    text = F.regexp_replace(F.upper(F.col(f"`{sequence}`")), "[^ACGT]", "N")
+    docs = df.select(F.col(f"`{ident}`").alias("ident"), text.alias("text")).where(F.col("ident").isNotNull() & F.col("text").isNotNull()).distinct()
+    docs = materialise(docs.withColumn("doc", F.monotonically_increasing_id()), "docs")
+    step = max(piece, 2 * least) - least + 1
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - least, F.lit(0)), F.lit(step))).alias("start")
+    cut = docs.where(F.length("text") >= least).select("doc", starts, "text")
+    cut = cut.select("doc", F.col("start").cast("bigint").alias("start"), F.substring("text", F.col("start") + 1, F.lit(step + least - 1)).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "start")
+    shards, size = [[]], 0
+    for whole in reference:
+        for run in "".join(c if c in LETTERS else " " for c in whole.upper()).split():
+            for at in range(0, max(len(run) - least + 1, 0), SHARD_LETTERS - least + 1):
+                part = run[at : at + SHARD_LETTERS].encode().translate(bytes.maketrans(b"ACGT", bytes(range(4))))
+                if size + len(part) > SHARD_LETTERS and shards[-1]:
+                    shards.append([])
+                    size = 0
+                shards[-1].append(part)
+                size += len(part)
+    found = None
+    for texts in shards:
+        if texts:
+            sent = spark.sparkContext.broadcast(ArrayAutomaton(texts))
+            one = materialise(cut.mapInArrow(_stream(sent, least), "doc bigint, first bigint, last bigint").groupBy("doc", "first").agg(F.max("last").alias("last")), "reference")
+            sent.unpersist()
+            found = one if found is None else found.unionByName(one)
+    found = spark.createDataFrame([], "doc bigint, first bigint, last bigint") if found is None else found
+    return docs, _joined(found)
+
+
+def without_reference(df: DataFrame, ident: str, sequence: str, reference: list[str], least: int = 120) -> DataFrame:
+    """ident, sequence without the stretches that stand in the reference, and removed; as spans_in_reference()."""
+    docs, spans = spans_in_reference(df, ident, sequence, reference, least)
+    return _cut(docs, spans, ident, sequence)

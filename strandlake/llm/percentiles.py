@@ -19,36 +19,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import MOST_HOT, salted_join
-from ..storage import materialise
+from ..operators.skew import hot_of, salted_join
+from ..storage import materialise, release
 
 RUN = 4096
 FAN_IN = 512
 
 
-def runs(df: DataFrame, group: str, value: str, ident: str | None = None, error: float = 0.0, run_rows: int = RUN) -> DataFrame:
+def runs(df: DataFrame, group: str, value: str, ident: str | None = None, error: float = 0.0, run_rows: int = RUN, by: str | None = None) -> DataFrame:
     """Mergeable state of df: grp, run, step, vals (sorted), with n the values that went in.
 
+    With ``by`` (a day, a file) the state is that of each of its values put side by side, as if
+    each had been made on its own, and an id that comes again on a later day counts on the first only;
+    a null ``by`` is a day of its own.
+
     Null groups, null and NaN values take no part; infinities and negative values
     are values. With ``ident`` each id counts once (of conflicting facts for an id each
     counts); rows with a null id count one by one. To merge states, unite them;
     an id must then stand in one state only. Other columns are ignored.
     """
     g, v = F.col(f"`{group}`"), F.col(f"`{value}`").cast("double")
-    rows = df.where(g.isNotNull() & v.isNotNull() & ~F.isnan(v)).select(g.cast("string").alias("grp"), v.alias("v"), *([F.col(f"`{ident}`").alias("id")] if ident else []))
+    part = F.col(f"`{by}`").cast("string") if by else F.lit(None).cast("string")
+    rows = df.where(g.isNotNull() & v.isNotNull() & ~F.isnan(v)).select(g.cast("string").alias("grp"), v.alias("v"), part.alias("part"), *([F.col(f"`{ident}`").alias("id")] if ident else []))
     if ident:
-        rows = rows.withColumn("lone", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).distinct()
+        rows = rows.withColumn("lone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+        rows = rows.groupBy("grp", "v", "id", "lone").agg(F.min("part").alias("part")) if by else rows.distinct()
         spread = F.xxhash64("id", "lone")
     else:
         spread = F.monotonically_increasing_id()
-    rows = materialise(rows.select("grp", "v", spread.alias("spread")), "values")
-    counts = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")), "counts")
+    unit = F.concat_ws("\x01", "grp", "part") if by else F.col("grp")
+    rows = materialise(rows.select("grp", unit.alias("unit"), "v", spread.alias("spread")), "values")
+    counts = rows.groupBy("unit").agg(F.count("*").alias("n"))
+    counts = materialise(counts, "counts")
     many = counts.where(F.col("n") > run_rows)
-    limit = (counts.agg(F.sum("n")).first()[0] or 0) / MOST_HOT
-    hot = [r[0] for r in many.where(F.col("n") > limit).select("grp").collect()]  # fewer than MOST_HOT
-    cut = salted_join(rows, many, "grp", "spread", "left", hot=hot)
+    cut = salted_join(rows, many, "unit", "spread", "left", hot=hot_of(counts, "unit", "n"))
     pieces = F.coalesce(F.ceil(F.col("n") / run_rows), F.lit(1))
-    sorted_runs = cut.groupBy("grp", F.pmod("spread", pieces).alias("run")).agg(F.array_sort(F.collect_list("v")).alias("vals"))
+    sorted_runs = cut.groupBy("grp", "unit", F.pmod("spread", pieces).alias("run")).agg(F.array_sort(F.collect_list("v")).alias("vals"))
     if not error:
         return sorted_runs.select("grp", "run", F.lit(1).cast("bigint").alias("step"), "vals", F.size("vals").cast("bigint").alias("n"))
     m = F.size("vals")
@@ -162,6 +168,7 @@ def percentiles(state: DataFrame, shares: list[float], run_rows: int = RUN) -> D
         )
         moved = cuts.select("grp", "seg", "run", "step", F.explode(pieces).alias("p")).where("size(p.vals) > 0").select("grp", "seg", "run", "step", "p.*")
         kept = materialise(_to_runs(moved, new.select("grp", "seg", "side", "size"), ["side"]).withColumn("seg", F.concat("seg", "side")), "kept")
+        release(cuts)
         new = new.withColumn("seg", F.concat("seg", "side"))
         done = new.where(F.col("size") <= run_rows).select("grp", "seg", "targets")
         at_hand = gathered(kept.where(F.col("size") <= run_rows), ["grp", "seg"])

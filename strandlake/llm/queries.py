@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier, kmer_code, kmer_text, kmer_valid, label, trimmed
+from ..operators.skew import salted_join
 from ..plans.tables import table
 from ..storage import materialise
-from .exact_spans import shared_bases, shared_pairs
+from .exact_spans import shared_bases, shared_classes, shared_pairs, without_shared
 from .frequent import frequent
 from .mixing import keeping_shares, mixture, reached, shares, spread
 from .packing import pack
@@ -35,6 +36,22 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _tpm(spark, folder).select(F.col("grp").alias("gene_id"), "n", *(F.get("values", i).alias(f"p{round(s * 100)}") for i, s in enumerate(SHARES)))
 
 
+DAY_ERROR = 0.02
+
+
+def p1_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Per gene n, the percentiles from states of single days with a rank error of at most DAY_ERROR x n, and whether their true ranks are within it."""
+    rows = table(spark, folder, "expression_result").where((F.col("tpm") >= 0) & (F.col("tpm") < float("inf")))
+    rows = rows.select(identifier("gene_id").alias("gene_id"), "tpm", "result_id", F.to_date("analysis_ts").alias("day")).where("gene_id is not null")
+    found = materialise(percentiles(runs(rows, "gene_id", "tpm", "result_id", DAY_ERROR, by="day"), SHARES, 256), "days")
+    each = found.select(F.col("grp").alias("gene_id"), "n", F.posexplode("values").alias("i", "value"))
+    true = rows.select("gene_id", "tpm", "result_id").distinct()
+    at = salted_join(true, each, "gene_id", "result_id").groupBy("gene_id", "n", "i").agg(F.count_if(F.col("tpm") < F.col("value")).alias("below"), F.count_if(F.col("tpm") <= F.col("value")).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.element_at(F.array(*(F.lit(s) for s in SHARES)), F.col("i") + 1) * F.col("n"), 6)))
+    within = (F.col("below") + 1 - DAY_ERROR * F.col("n") <= rank) & (rank <= F.col("upto") + DAY_ERROR * F.col("n"))
+    return at.groupBy("gene_id", "n").agg(F.count_if(~within).alias("outside"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_pairs(table(spark, folder, "genome_node"), "id", "sequence")
 
@@ -43,6 +60,20 @@ def p3_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_bases(table(spark, folder, "genome_node"), "id", "sequence")
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each node with a shared stretch: how many classes of stretches it is in, and with how many other classes those are linked."""
+    members, links = shared_classes(table(spark, folder, "genome_node"), "id", "sequence")
+    ends = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("class"))
+    degree = ends.groupBy("class").agg(F.count("*").alias("links"))
+    some = members.join(links.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    return some.join(degree, "class", "left").groupBy(F.col("ident").alias("id")).agg(F.count("*").alias("classes"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+
+
+def p3_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """How many letters each node loses when its shared stretches are taken out, and what is left of it."""
+    return without_shared(table(spark, folder, "genome_node"), "id", "sequence").select("id", "removed", F.length("sequence").alias("left"))
+
+
 def _best(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "eqtl_result").select(identifier("gene_id").alias("gene_id"), "pvalue", "eqtl_id")
     return top_n(rows.where("pvalue >= 0 and pvalue <= 1"), "gene_id", "pvalue", "eqtl_id", 5)
@@ -167,7 +198,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return _levels(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_shared, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p7_invariants, p8_found, p8_mixture, p8_shares, p8_kept_shares, p8_invariants, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_days, p3_found, p3_shared, p3_classes, p3_removed, p4_found, p4_ranked, p5_found, p5_counts, p7_found, p7_containers, p7_fill, p7_invariants, p8_found, p8_mixture, p8_shares, p8_kept_shares, p8_invariants, p9_found, p9_levels)}
 
 _TPM = """
 with r as (select distinct result_id, upper(trim(gene_id, ' ' || chr(9))) as gene_id, tpm from expression_result
@@ -187,8 +218,19 @@ with k as (select distinct kmer_id, upper(trim(sequence, ' ' || chr(9))) as sequ
 c as (select sequence, count(*) as n_rows, round(count(*) / (select count(*) from k), 6) as share from k group by 1
       having count(*) >= 0.002 * (select count(*) from k))
 """
+_SHARED = """
+with d as (select distinct id, regexp_replace(upper(sequence), '[^ACGT]', 'N', 'g') as s from genome_node where sequence is not null and id is not null),
+w as (select id, s, i, substr(s, i::int + 1, 120) as word from (select id, s, unnest(range(length(s) - 119)) as i from d where length(s) >= 120) where not contains(substr(s, i::int + 1, 120), 'N')),
+m as (select word from w group by 1 having count(distinct id) > 1),
+p as (select w.id, w.s, w.i, w.word from w join m using (word)),
+c as (select id, s, count(*) as n from (select distinct id, s, i + j as at from p, (select unnest(range(120)) as j)) group by 1, 2)
+"""
 ORACLE = {
+    "p3_found": _SHARED + "select distinct a.id as id_a, b.id as id_b from p a join p b on a.word = b.word and a.id < b.id",
+    "p3_shared": _SHARED + "select d.id, sum(length(d.s)) as length, sum(coalesce(c.n, 0)) as shared from d left join c using (id, s) group by 1",
+    "p3_removed": _SHARED + "select d.id, coalesce(c.n, 0) as removed, length(d.s) - coalesce(c.n, 0) as left from d left join c using (id, s)",
     "p1_found": _TPM + "select gene_id from q where p50 > 0 and p99 >= 1000 * p50",
+    "p1_days": _TPM + "select gene_id, n, 0 as outside from q",
     "p1_percentiles": _TPM + "select * from q",
     "p4_found": _BEST + "select gene_id, eqtl_id from o where rank <= 5",
     "p4_ranked": _BEST + "select gene_id, pvalue, eqtl_id, rank from o where rank <= 5",

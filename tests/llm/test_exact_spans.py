@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.llm.exact_spans import SuffixAutomaton, match_shard, shared_bases, shared_pairs
+from strandlake.llm.exact_spans import SuffixAutomaton, match_shard, shared_bases, shared_classes, shared_pairs, without_reference, without_shared
 
 ROWS = "id string, s string"
 
@@ -49,10 +49,10 @@ def test_pairs_and_bases_as_brute_force(spark):
         assert {r["id"]: r["shared"] for r in shared_bases(df, "id", "s", 40, 20).collect() if r["shared"]} == {i: n for i, n in shared.items() if n}
 
 
-def test_blocks_of_a_large_shard(spark, monkeypatch):
+def test_crowded_seed(spark, monkeypatch):
     import strandlake.llm.exact_spans as module
 
-    monkeypatch.setattr(module, "BLOCK", 4)
+    monkeypatch.setattr(module, "CROWD", 4)
     rng = random.Random(9)
     core = "".join(rng.choice("ACGT") for _ in range(45))
     rows = [(f"n{i:02}", "".join(rng.choice("ACGT") for _ in range(20)) + core[i % 4 :] + "".join(rng.choice("ACGT") for _ in range(20))) for i in range(30)]
@@ -115,4 +115,57 @@ def test_automaton_finds_longest_matches():
 
 def test_match_shard_of_one_owner_gives_nothing():
     text = bytes(i % 4 for i in range(50))
-    assert list(match_shard([(1, text, 7, 7, True, True)], 40)) == []
+    assert list(match_shard([(1, text, 7, 7)], 40)) == []
+    assert list(match_shard([(1, text, 7, 7), (2, text[:45], 7, 7)], 40)) == []
+
+
+def test_classes_and_links_give_the_pairs(spark):
+    rows = made(4)
+    pairs, _ = brute(rows, 40)
+    members, links = shared_classes(spark.createDataFrame(rows, ROWS), "id", "s", 40, 20)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["class"], set()).add(r["ident"])
+    found = {(min(x, y), max(x, y)) for r in links.collect() for x in of[r["a"]] for y in of[r["b"]] if x != y}
+    assert found == pairs
+
+
+def covered(s, texts, least):
+    """Places of s in stretches of at least ``least`` letters that stand in one of the texts."""
+    out = set()
+    for k in range(len(s) - least + 1):
+        w = s[k : k + least]
+        if set(w) <= set("ACGT") and any(w in t for t in texts):
+            out.update(range(k, k + least))
+    return out
+
+
+def test_removal_of_shared_stretches(spark):
+    rows = made(5)
+    distinct = {(i, "".join(c if c in "ACGT" else "N" for c in s.upper())) for i, s in rows}
+    expected = []
+    for ident, s in distinct:
+        gone = covered(s, [t for j, t in distinct if j != ident], 40)
+        expected.append((ident, "".join(c for k, c in enumerate(s) if k not in gone), len(gone)))
+    found = without_shared(spark.createDataFrame(rows, ROWS), "id", "s", 40, 20).collect()
+    assert sorted((r["id"], r["s"], r["removed"]) for r in found) == sorted(expected)
+    assert any(n for *_, n in expected)
+
+
+def test_streaming_past_a_broadcast_reference(spark, monkeypatch):
+    import strandlake.llm.exact_spans as module
+
+    monkeypatch.setattr(module, "SHARD_LETTERS", 150)
+    rng = random.Random(12)
+    text = lambda k: "".join(rng.choice("ACGT") for _ in range(k))
+    reference = [text(400), text(90).lower() + "N" + text(60), "AC" * 40, ""]
+    upper = [r.upper() for r in reference]
+    rows = [(f"n{i}", text(30) + upper[0][i * 7 : i * 7 + 25 + i] + text(20) + upper[1][80 - i : 100] + "ACAC" * (i % 15) + "N" + upper[0][:120]) for i in range(40)] + [("none", None), ("empty", ""), (None, upper[0])]
+    found = {r["id"]: (r["s"], r["removed"]) for r in without_reference(spark.createDataFrame(rows, ROWS), "id", "s", reference, 30).collect()}
+    for ident, s in rows:
+        if ident is not None and s is not None:
+            gone = covered(s, upper, 30)
+            assert found[ident] == ("".join(c for k, c in enumerate(s) if k not in gone), len(gone))
+    long = [("x", text(3000) + upper[0] + text(2500))]
+    assert without_reference(spark.createDataFrame(long, ROWS), "id", "s", reference, 30).first()["removed"] >= 400
+    assert without_reference(spark.createDataFrame(rows, ROWS), "id", "s", [], 30).where("removed > 0").count() == 0

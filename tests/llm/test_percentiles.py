@@ -40,6 +40,20 @@ def test_rounds_give_the_exact_elements(spark):
     assert found == {g: (len(v), [exact(v, s) for s in SHARES]) for g, v in by_group(rows).items()}
 
 
+def test_an_id_seen_on_two_days_counts_once(spark):
+    rows = [(g, v, i, f"2024-01-{1 + i % 9:02}") for g, v, i in data(400)]
+    again = [(g, v, i, "2024-02-01") for g, v, i, _ in rows[::3]] + [("hot", 1.0, None, None), ("hot", 1.0, None, "2024-01-01")]
+    df = spark.createDataFrame(rows + again, f"{ROWS}, d string").repartition(3)
+    expected = by_group([r[:3] for r in rows] + [("hot", 1.0, None)] * 2)
+    state = runs(df, "g", "v", "i", run_rows=16, by="d")
+    assert result(percentiles(state, SHARES, run_rows=32)) == {g: (len(v), [exact(v, s) for s in SHARES]) for g, v in expected.items()}
+    for g, (n, values) in result(percentiles(runs(df, "g", "v", "i", error=0.1, by="d"), SHARES)).items():
+        ordered = sorted(expected[g])
+        for s, x in zip(SHARES, values):
+            rank = max(1, math.ceil(round(s * n, 6)))
+            assert n == len(ordered) and sum(v < x for v in ordered) + 1 - 0.1 * n <= rank <= sum(v <= x for v in ordered) + 0.1 * n
+
+
 def test_any_split_merges_to_the_same(spark):
     rows = data(300)
     parts = [rows[i::3] for i in range(3)]

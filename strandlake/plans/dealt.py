@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import kmer_code, kmer_text, kmer_valid, trimmed
-from ..operators.orphans import OrphanTracker, parents, references
+from ..operators.orphans import OrphanTracker, deletions, parents, references
 from ..operators.skew import per_key
 from .tables import table
 
@@ -30,25 +32,26 @@ EPOCHS = 3
 
 
 def _tracker(spark: SparkSession, folder: str) -> OrphanTracker:
-    """The tables' rows as they came, in EPOCHS equal spans of time."""
-    node, transcript = table(spark, folder, "genome_node"), table(spark, folder, "transcript_variant")
+    """The tables' rows in the order in which they came, a third of each table at a time. What the tables say of a row's deletion arrives as an event of its own, a batch after the row."""
+    names = ["genome_path", "genome_edge", "transcript_alignment", "genome_node", "transcript_variant"]
+    sizes = reduce(DataFrame.unionAll, [table(spark, folder, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]).collect()  # from the files' footers
+    size = {r["name"]: max(r["n"], 1) for r in sizes}
+
+    def arriving(name: str, *columns: str) -> DataFrame:
+        place = F.floor(F.col("_metadata.row_index") * EPOCHS / F.lit(size[name]))
+        return table(spark, folder, name).select(*columns, F.least(place, F.lit(EPOCHS - 1)).cast("int").alias("batch"))
+
     refs = (
-        references(table(spark, folder, "genome_path"), "genome_path", "path_id", "path_nodes", "created_at", "node")
-        .unionByName(references(table(spark, folder, "genome_edge"), "genome_edge", "edge_id", "to_node", "created_at", "node"))
-        .unionByName(references(table(spark, folder, "transcript_alignment"), "transcript_alignment", "alignment_id", "transcript_variant_id", "created_at", "transcript"))
+        references(arriving("genome_path", "path_id", "path_nodes", "created_at"), "genome_path", "path_id", "path_nodes", "created_at", "node", "batch")
+        .unionByName(references(arriving("genome_edge", "edge_id", "to_node", "created_at"), "genome_edge", "edge_id", "to_node", "created_at", "node", "batch"))
+        .unionByName(references(arriving("transcript_alignment", "alignment_id", "transcript_variant_id", "created_at"), "transcript_alignment", "alignment_id", "transcript_variant_id", "created_at", "transcript", "batch"))
     )
-    born = parents(node, "id", "created_at", "deleted_at", "node").unionByName(parents(transcript, "transcript_id", "created_at", "deleted_at", "transcript"))
-    low, high = born.agg(F.min(F.unix_micros("live_from")), F.max(F.unix_micros("live_from"))).first()
-    tracker = OrphanTracker(spark)
-    if low is None:
-        return tracker.advance(refs, born)
-
-    def epoch(at: str):  # rows without a time, and those before and after the targets, fall into the first and last
-        place = F.floor((F.unix_micros(at) - F.lit(low)) * EPOCHS / F.lit(high - low + 1))
-        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(EPOCHS - 1), place)), F.lit(0))
-
-    for i in range(EPOCHS):
-        tracker.advance(refs.where(epoch("at") == i), born.where(epoch("live_from") == i))
+    targets = [(arriving("genome_node", "id", "created_at", "deleted_at"), "id", "node"), (arriving("transcript_variant", "transcript_id", "created_at", "deleted_at"), "transcript_id", "transcript")]
+    born = reduce(DataFrame.unionByName, [parents(df, row_id, "created_at", None, kind, "batch") for df, row_id, kind in targets])
+    gone = reduce(DataFrame.unionByName, [deletions(df, row_id, "created_at", "deleted_at", kind, "batch") for df, row_id, kind in targets])
+    tracker = OrphanTracker(spark).stage(refs, born, gone.withColumn("batch", F.col("batch") + 1))
+    for batch in range(EPOCHS + 1):
+        tracker.take(batch)
     return tracker
 
 
@@ -60,7 +63,12 @@ def p6_orphans_by_month(spark: SparkSession, folder: str) -> DataFrame:
     return _tracker(spark, folder).snapshot()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kmer_nodes, p6_found, p6_orphans_by_month)}
+def p6_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The open orphans per table and month after each batch."""
+    return _tracker(spark, folder).history()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kmer_nodes, p6_found, p6_orphans_by_month, p6_history)}
 
 _KMER = """
 with k as (select import_id, upper(trim(sequence, ' ' || chr(9))) as sequence, node_id, node_count from kmer),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -42,15 +45,33 @@ def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def track_orphans(refs: DataFrame, tracker: OrphanTracker, checkpoint: str) -> StreamingQuery:
-    """Feeds arriving references to a tracker, batch by batch."""
-    return refs.writeStream.foreachBatch(lambda batch, _: tracker.advance(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def track_orphans(arrivals: DataFrame, tracker: OrphanTracker, checkpoint: str) -> StreamingQuery:
+    """Feeds arriving rows to a tracker, batch by batch.
+
+    ``arrivals`` are references (REFS), or any of references, births and deletions as
+    orphan_events() puts them. The tracker should keep its state in a folder: after a restart with the
+    same checkpoint it goes on from there, and a batch that the stream replays is passed over.
+    """
+    mixed = "kind" in arrivals.columns
+
+    def take(batch: DataFrame, number: int) -> None:
+        if not mixed:
+            tracker.advance(batch, batch=number)
+            return
+        of = lambda kind: batch.where(F.col("kind") == kind)
+        tracker.advance(of("ref"), of("birth"), of("death"), batch=number)
+
+    return arrivals.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def orphan_events(refs: DataFrame | None = None, born: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """References, births and deletions as rows of one table or stream, told apart by ``kind``."""
+    given = [df.withColumn("kind", F.lit(kind)) for kind, df in (("ref", refs), ("birth", born), ("death", deleted)) if df is not None]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), given)
 
 
 def map_read_stream(reads: DataFrame, node_kmers: DataFrame, k: int = 31, least: int = 5) -> DataFrame:
     """Arriving reads (read_id, sequence) against a static k-mer table (kmer, id): read_id, id, hits, in complete or update mode."""
-    from pyspark.sql import functions as F
-
     from ..operators.kmers import kmers
 
     found = kmers(reads, "read_id", "sequence", k).join(node_kmers.select("kmer", "id").distinct(), "kmer")

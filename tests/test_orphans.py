@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from strandlake.operators.orphans import PARENTS, REFS, OrphanTracker, parents, references
+from strandlake.operators.orphans import DEATHS, PARENTS, REFS, OrphanTracker, parents, references
 
 T0 = datetime(2024, 1, 1)
 
@@ -66,3 +66,50 @@ def test_spellings_and_odd_rows(spark):
 def test_nothing(spark):
     assert opened(OrphanTracker(spark)) == set()
     assert opened(OrphanTracker(spark).advance(spark.createDataFrame([], REFS), spark.createDataFrame([], PARENTS))) == set()
+
+
+def test_deletions_as_events_give_the_same_as_rows_that_know_their_end(spark):
+    refs, born = made(2)
+    expected = brute(refs, born)
+    births = [(k, a, None) for k, a, _ in born]
+    deaths = [(k, a, b) for k, a, b in born if b is not None]
+    ref_df, born_df, death_df = (lambda rows, s=s: spark.createDataFrame(rows, s) for s in (REFS, PARENTS, DEATHS))
+    seen = OrphanTracker(spark).advance(ref_df(refs[:120]), born_df(births[:20]), death_df(deaths[:5]))
+    seen.advance(deleted=death_df(deaths[10:])).advance(ref_df(refs[120:]), born_df(births[20:])).advance(deleted=death_df(deaths[5:10]))
+    assert opened(seen) == expected
+    last = {(r["ref_table"], r["period"]): r["n_orphans"] for r in seen.history().where("batch = 3").collect()}
+    assert last == {("edge", p): len([x for x in expected if x[3] == p]) for p in {x[3] for x in expected}}
+    assert seen.history().select("batch").distinct().count() == 4
+
+
+def test_staged_batches(spark):
+    refs, born = made(3)
+    numbered = lambda rows, schema: spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], f"{schema}, batch int")
+    deaths = [(k, a, b) for k, a, b in born if b is not None]
+    tracker = OrphanTracker(spark).stage(numbered(refs, REFS), numbered([(k, a, None) for k, a, _ in born], PARENTS), numbered(deaths, DEATHS))
+    for batch in range(4):
+        tracker.take(batch)
+    assert opened(tracker) == brute(refs, born)
+
+
+def test_restart_goes_on_and_a_replayed_batch_is_passed_over(spark, tmp_path):
+    refs, born = made(4)
+    state = f"file://{tmp_path}/state"
+    first = OrphanTracker(spark, state).advance(spark.createDataFrame(refs[:150], REFS), spark.createDataFrame(born[:20], PARENTS), batch=0)
+    before = opened(first)
+    again = OrphanTracker(spark, state)
+    assert opened(again) == before and again.done == [0]
+    again.advance(spark.createDataFrame(refs, REFS), batch=0)
+    assert opened(again) == before
+    again.advance(spark.createDataFrame(refs[150:], REFS), spark.createDataFrame(born[20:], PARENTS), batch=1)
+    assert opened(OrphanTracker(spark, state)) == brute(refs, born)
+
+
+def test_an_unfinished_batch_is_taken_anew(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    tracker = OrphanTracker(spark, state)
+    spark.createDataFrame([("edge", "half", 0, "node:A", day(1))], REFS).write.parquet(f"{state}/refs/batch=0")  # as if the driver had died here
+    tracker = OrphanTracker(spark, state)
+    assert opened(tracker) == set()
+    tracker.advance(spark.createDataFrame([("edge", "whole", 0, "node:A", day(1))], REFS), batch=0)
+    assert opened(tracker) == {("edge", "whole", 0, "2024-01")}

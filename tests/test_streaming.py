@@ -61,3 +61,20 @@ def test_orphans_from_a_stream(spark, tmp_path):
     spark.createDataFrame([("edge", "e1", 0, "node:A", T0), ("edge", "e2", 0, "node:B", T0)], REFS).write.parquet(str(tmp_path / "refs"))
     stream.track_orphans(stream.read(spark, str(tmp_path / "refs"), REFS), tracker, str(tmp_path / "c")).awaitTermination(120)
     assert [r["ref_id"] for r in tracker.open().collect()] == ["e2"]
+
+
+def test_orphan_events_survive_a_restart(spark, tmp_path):
+    schema = f"{REFS}, live_from timestamp, live_to timestamp, died timestamp, kind string"
+    none = (None,) * 3
+    ref = lambda i, key, hours: ("edge", i, 0, key, T0 + timedelta(hours=hours), *none, "ref")
+    birth = lambda key: (None, None, None, key, None, T0, None, None, "birth")
+    death = lambda key, hours: (None, None, None, key, None, T0, None, T0 + timedelta(hours=hours), "death")
+    run = lambda tracker: stream.track_orphans(stream.read(spark, str(tmp_path / "in"), schema), tracker, str(tmp_path / "c")).awaitTermination(120)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state = f"file://{tmp_path}/state"
+    put([ref("e1", "node:A", 1), ref("e2", "node:A", 9), ref("e3", "node:B", 1)])
+    run(OrphanTracker(spark, state))
+    put([birth("node:A"), birth("node:B")])
+    put([death("node:A", 5)])
+    run(OrphanTracker(spark, state))
+    assert [r["ref_id"] for r in OrphanTracker(spark, state).open().collect()] == ["e2"]

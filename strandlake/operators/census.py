@@ -28,8 +28,13 @@ def diversity(nodes: DataFrame) -> DataFrame:
 def rare_by_chromosome(nodes: DataFrame, below: float = 0.05, sample: int = 5) -> DataFrame:
     """Rare nodes per chromosome and the first few of the individuals that carry them."""
     rare = nodes.where(F.col("frequency") < below)
-    people = rare.groupBy("chromosome", "individual_id").agg(F.count("*").alias("n"))  # distinct before they are gathered
-    return people.groupBy("chromosome").agg(F.sum("n").alias("rare_nodes"), F.slice(F.array_sort(F.collect_set("individual_id")), 1, sample).alias("individuals"))
+    people = rare.groupBy("chromosome", "individual_id").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("chromosome").orderBy("individual_id"))
+    first = people.where("individual_id is not null").withColumn("_r", place).where(F.col("_r") <= sample)  # cut before the shuffle, too
+    named = first.groupBy("chromosome").agg(F.array_sort(F.collect_list("individual_id")).alias("individuals"))
+    counts = people.groupBy("chromosome").agg(F.sum("n").alias("rare_nodes"))
+    same = counts.chromosome.eqNullSafe(named.chromosome)
+    return counts.join(named, same, "left").select(counts.chromosome, "rare_nodes", F.coalesce("individuals", F.array().cast("array<string>")).alias("individuals"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -81,3 +86,23 @@ def performance_rollup(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("runs"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("seconds").alias("mean_seconds"),
         F.min(F.struct("seconds", "operation"))["operation"].alias("fastest"), F.max(F.struct("seconds", "operation"))["operation"].alias("slowest"),
     )
+
+
+def performance_by(metrics: DataFrame, by: str) -> DataFrame:
+    """Of operation, seconds, success per group: runs, success rate, mean seconds and the sorted names of its operations."""
+    return metrics.groupBy(by).agg(
+        F.count("*").alias("runs"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("seconds").alias("mean_seconds"), F.array_sort(F.collect_set("operation")).alias("operations")
+    )
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """total_edges, edge_types."""
+    return edges.agg(F.count("*").alias("total_edges"), F.count_distinct("edge_type").alias("edge_types"))
+
+
+def scaling(times: DataFrame) -> DataFrame:
+    """Of (suite, size, seconds) per suite the trend() of seconds over size and its label."""
+    r = F.corr("size", "seconds")
+    return times.groupBy("suite").agg(
+        r.alias("correlation"), F.regr_slope(F.col("seconds"), F.col("size")).alias("slope"), F.when(r > 0.8, "Linear").when(r > 0.5, "Sub-linear").otherwise("Optimal").alias("scaling")
+    )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def path_embedding(paths: DataFrame, features: DataFrame, size: int = 100) -> DataFrame:
     """path_id and embedding: mean, population deviation, maximum and minimum of the nodes' vectors, cut to ``size``.
@@ -55,16 +60,62 @@ def clusters(vectors: DataFrame, ident: str, vector: str, k: int = 50, dims: int
     return Pipeline(stages=stages).fit(rows).transform(rows).select(ident, "cluster")
 
 
-def population_structure(present: DataFrame, k: int = 5, dims: int = 10, least: float = 0.05, seed: int = 42) -> DataFrame:
-    """hap, cluster: haplotypes as sparse vectors of their common sites, main components, k-means."""
-    from pyspark.ml.feature import CountVectorizer
+def main_components(cells: DataFrame, row: str, column: str, dims: int, seed: int = 42, more: int = 10) -> DataFrame:
+    """row, scores: the first ``dims`` principal component scores of a sparse 0/1 matrix given as its cells (row, column), columns centred.
+
+    Randomised subspace iteration: each column gets dims + more hash-seeded normal numbers, rows sum those of
+    their columns, and two rounds of multiplying with the matrix and its transpose follow. Every product is
+    a join and a grouped sum, so neither the number of rows nor that of columns is limited; only
+    matrices of dims + more squared come to the driver.
+    """
+    size = dims + more
+    cells = materialise(cells.select(F.col(row).alias("r"), F.col(column).alias("c")).distinct(), "cells")
+    names = [f"y{j}" for j in range(size)]
+
+    def normal(j: int) -> Column:
+        u, v = (F.pmod(F.xxhash64("c", F.lit(seed), F.lit(j), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30)) for k in (0, 1))
+        return F.sqrt(-2 * F.ln(u + 1e-10)) * F.cos(2 * math.pi * v)
+
+    def centred(y: DataFrame) -> DataFrame:
+        y = materialise(y, "scores")
+        mean = y.agg(*(F.avg(n).alias(n) for n in names)).first()
+        return y.select("r", *((F.col(n) - F.lit(float(mean[n] or 0.0))).alias(n) for n in names))
+
+    def times(y: DataFrame) -> DataFrame:  # centred matrix x its transpose x y
+        z = cells.join(y, "r").groupBy("c").agg(*(F.sum(n).alias(n) for n in names))
+        return centred(cells.join(z, "c").groupBy("r").agg(*(F.sum(n).alias(n) for n in names)))
+
+    def inner(a: DataFrame, b: DataFrame) -> np.ndarray:
+        both = a.join(b.select("r", *(F.col(n).alias(f"b{n}") for n in names)), "r")
+        sums = both.agg(*(F.sum(F.col(m) * F.col(f"b{n}")) for m in names for n in names)).first()
+        return np.array([x or 0.0 for x in sums], float).reshape(size, size)
+
+    def turned(y: DataFrame, by: np.ndarray) -> DataFrame:
+        return y.select("r", *(sum((F.col(m) * F.lit(float(by[i, j])) for i, m in enumerate(names)), F.lit(0.0)).alias(n) for j, n in enumerate(names)))
+
+    def orthonormal(y: DataFrame) -> DataFrame:
+        values, vectors = np.linalg.eigh(inner(y, y))
+        keep = values > max(values.max(), 0) * 1e-12
+        scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0.0)
+        return materialise(turned(y, vectors * scale), "basis")
+
+    y = centred(cells.groupBy("r").agg(*(F.sum(normal(j)).alias(n) for j, n in enumerate(names))))
+    for _ in range(2):
+        y = times(orthonormal(y))
+    basis = orthonormal(y)
+    values, vectors = np.linalg.eigh(inner(basis, times(basis)))
+    order = np.argsort(-values)
+    spread = np.sqrt(np.maximum(values[order], 0))
+    scores = turned(basis, vectors[:, order] * spread)
+    return scores.select(F.col("r").alias(row), F.array(*names[:dims]).alias("scores"))
+
 
+def population_structure(present: DataFrame, k: int = 5, dims: int = 10, least: float = 0.05, seed: int = 42) -> DataFrame:
+    """hap, cluster: k-means on the main components of haplotypes over all their common sites."""
     from .popgen import common_sites, site_frequencies
 
     common = common_sites(site_frequencies(present), least).select("site")
-    rows = present.join(common, "site", "left_semi").groupBy("hap").agg(F.collect_set("site").alias("sites"))  # a haplotype's own sites
-    vectors = CountVectorizer(inputCol="sites", outputCol="v", binary=True).fit(rows).transform(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    dense = vectors.select("hap", vector_to_array("v").alias("v"))
-    return clusters(dense, "hap", "v", k, dims, seed)
+    cells = present.join(common, "site", "left_semi")
+    if cells.isEmpty():
+        return cells.select("hap", F.lit(0).alias("cluster")).distinct()
+    return clusters(main_components(cells, "hap", "site", dims, seed), "hap", "scores", k, dims, seed)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise, new_path
+from .skew import hot_keys, salted_join
 
 
 def linear_edges(nodes: DataFrame, max_gap: int = 1000) -> DataFrame:
@@ -29,6 +30,19 @@ def variant_edges(nodes: DataFrame, variants: DataFrame, self_loops: bool = Fals
     return kept.select(F.col("id").alias("from_id"), "to_id", F.lit("variant").alias("edge_type"))
 
 
+def variant_node(individual: str, haplotype: int, source: str, variants: DataFrame) -> DataFrame:
+    """Scale-0 nodes of structural variants (variant_type, chromosome, start_pos, end_pos, sequence, frequency), with ids sv_{type}_chr{c}_{start}_{number}.
+
+    The number counts a variant among those of the same type and place, by their end and sequence.
+    """
+    same = Window.partitionBy("variant_type", "chromosome", "start_pos").orderBy("end_pos", "sequence")
+    name = F.format_string("sv_%s_chr%d_%d_%d", "variant_type", "chromosome", "start_pos", F.row_number().over(same) - 1)
+    return variants.select(
+        name.alias("id"), F.lit(individual).alias("individual_id"), F.lit(haplotype).alias("haplotype"), F.lit(source).alias("assembly_source"), "chromosome", "start_pos", "end_pos",
+        F.lit(0).alias("scale_level"), "frequency", "sequence", "variant_type",
+    )
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (id)."""
     ids = nodes.select("id").distinct()
@@ -80,6 +94,7 @@ def shortest_paths(edges: DataFrame, routes: DataFrame, max_hops: int = 20, keep
     rate = F.coalesce("recombination_rate", F.lit(0.0)) if "recombination_rate" in edges.columns else F.lit(0.0)
     steps = (edges if keep is None else edges.where(keep)).select("from_node", "to_node", (F.coalesce("frequency", F.lit(0.0)) * (1 + rate)).alias("weight"))
     steps = materialise(steps.groupBy("from_node", "to_node").agg(F.max("weight").alias("weight")), "steps")
+    hot = hot_keys(steps, "from_node")  # hubs: their edges are spread over many tasks
     frontier = routes.select("route", "target", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(1.0).alias("score"))
     spark, levels = edges.sparkSession, []
 
@@ -88,14 +103,14 @@ def shortest_paths(edges: DataFrame, routes: DataFrame, max_hops: int = 20, keep
 
     for _ in range(max_hops + 1):
         levels.append(new_path(spark, "frontier"))
-        frontier.write.parquet(levels[-1])
+        seen = Observation()
+        frontier.observe(seen, F.count("*").alias("rows")).write.parquet(levels[-1])
+        if not seen.get["rows"]:
+            break
         level, at_target = read(levels[-1]), F.col("node") == F.col("target")
         frontier = level.join(level.where(at_target).select("route"), "route", "left_anti")
-        if frontier.isEmpty():
-            break
-        grown = frontier.join(steps, frontier.node == steps.from_node).select(
-            "route", "target", F.col("to_node").alias("node"), F.concat("path", F.array("to_node")).alias("path"), (F.col("score") * F.col("weight")).alias("score")
-        )
+        met = salted_join(steps.withColumnRenamed("from_node", "node"), frontier, "node", "to_node", hot=hot)
+        grown = met.select("route", "target", F.col("to_node").alias("node"), F.concat("path", F.array("to_node")).alias("path"), (F.col("score") * F.col("weight")).alias("score"))
         grown = grown.join(read(*levels).select("route", "node"), ["route", "node"], "left_anti")
         if avoid is not None:
             grown = grown.join(avoid.select("route", "node"), ["route", "node"], "left_anti")
@@ -109,17 +124,34 @@ def rare_paths(nodes: DataFrame, edges: DataFrame, below: float, hops: int, most
     inside = induced(edges, nodes.where(F.col("frequency") < below)).select("edge_id", "from_node", "to_node")
     inside = materialise(inside, "rare")
     paths = inside.select(F.array("from_node", "to_node").alias("path"), F.array("edge_id").alias("used"), F.col("to_node").alias("at"))
-    step, out = inside.select("edge_id", F.col("from_node").alias("at"), F.col("to_node").alias("then")), []
-    for length in range(1, (most or hops) + 1):
-        if length > 1:
-            paths = paths.join(step, "at").where(~F.array_contains("used", F.col("edge_id"))).select(
-                F.concat("path", F.array("then")).alias("path"), F.concat("used", F.array("edge_id")).alias("used"), F.col("then").alias("at")
-            )
-        if length >= hops:
-            if most:
-                paths = materialise(paths, "trails")  # the next length starts from these
-            out.append(paths.select("path", "used"))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [t.select("path", "used") for n, t in enumerate(_trails(paths, inside, most or hops), 1) if n >= hops])
+
+
+def _trails(paths: DataFrame, edges: DataFrame, most: int) -> list[DataFrame]:
+    """The trails (path, used, at) of each length, from those of one edge; the edges of hubs are spread over many tasks."""
+    step = edges.select("edge_id", F.col("from_node").alias("at"), F.col("to_node").alias("then"))
+    hot, out = hot_keys(step, "at"), [paths]
+    for _ in range(1, most):
+        met = salted_join(step, paths, "at", "edge_id", on=~F.array_contains("r.used", F.col("l.edge_id")), hot=hot)
+        paths = met.select(F.concat("path", F.array("then")).alias("path"), F.concat("used", F.array("edge_id")).alias("used"), F.col("then").alias("at"))
+        paths = materialise(paths, "trails")  # the next length starts from these
+        out.append(paths)
+    return out
+
+
+def trails_from(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """Trails (no edge twice) of 1 to ``most`` edges from the start nodes (id): hops, path, used. Their number can grow as degree ** most; choose few starts."""
+    edges = materialise(edges.select("edge_id", "from_node", "to_node"), "edges")
+    first = edges.join(starts.select(F.col("id").alias("from_node")).distinct(), "from_node", "left_semi")
+    first = first.select(F.array("from_node", "to_node").alias("path"), F.array("edge_id").alias("used"), F.col("to_node").alias("at"))
+    return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("hops"), "path", "used") for n, t in enumerate(_trails(first, edges, most), 1)])
+
+
+def best_routes(edges: DataFrame, routes: DataFrame, types: list[str] | None = None, max_hops: int = 50, above: float = 0.01, top: int = 10) -> DataFrame:
+    """The shortest_paths() over edges of the given types and frequencies above the limit, those of the highest score first; ties by route."""
+    keep = F.col("frequency") > above
+    found = shortest_paths(edges, routes, max_hops, keep & F.col("edge_type").isin(types) if types else keep)
+    return found.orderBy(F.desc("score"), "route").limit(top)
 
 
 def anchors(nodes: DataFrame, chromosome: int, position: int, around: int = 100, above: float = 0.8) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import kmer_code, kmer_text
 from ..storage import materialise
+from .skew import hot_keys, salted_join
 from . import annotate, association, census, graph, intervals, kmers, popgen, rnaseq
 
 
@@ -30,11 +32,12 @@ def batch_regions(nodes: DataFrame, regions: list[tuple[int, int, int]]) -> Data
 
 
 def comprehensive_query(nodes: DataFrame, edges: DataFrame, annotations: DataFrame, chromosome: int, start: int, end: int, **anchor) -> DataFrame:
-    """Diploid routes of a region with the annotations (node_id, annotation_type, value) of each route's first ten nodes."""
+    """Diploid routes of a region with the annotations (node_id, annotation_type, value) of each route's first ten nodes, path_length and n_annotations."""
     routes = materialise(graph.diploid_routes(nodes, edges, chromosome, start, end, **anchor), "routes")
     keyed = routes.select(F.concat_ws(":", "individual_id", "haplotype").alias("path_id"), F.col("path").alias("path_nodes"))
     facts = annotate.route_annotations(keyed, annotations).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("pos", "annotation_type", "value"))).alias("annotations"))
-    return routes.withColumn("path_id", F.concat_ws(":", "individual_id", "haplotype")).join(facts, "path_id", "left").drop("path_id")
+    joined = routes.withColumn("path_id", F.concat_ws(":", "individual_id", "haplotype")).join(facts, "path_id", "left").drop("path_id")
+    return joined.withColumn("path_length", F.size("path").cast("bigint")).withColumn("n_annotations", F.coalesce(F.size("annotations"), F.lit(0)).cast("bigint"))
 
 
 def annotation_run(nodes: DataFrame, interval_sets: dict[str, DataFrame], genes: DataFrame | None = None, clinical: DataFrame | None = None) -> DataFrame:
@@ -77,13 +80,21 @@ def gene_positions(known: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def containing_nodes(words: DataFrame, nodes: DataFrame, k: int, per_word: int = 10) -> DataFrame:
-    """word, id: nodes whose sequence contains the word of k letters, at most per_word of them by id; an equi join on k-mers."""
-    from pyspark.sql import Window
-
-    found = words.join(kmers.kmers(nodes, "id", "sequence", k).select(F.col("kmer").alias("word"), "id").distinct(), "word")
+    """word, id: nodes whose sequence contains the word of k letters A, C, G, T, at most per_word of them by id; an equi join on k-mers. Repeated words count once."""
+    coded = words.select(kmer_code(F.col("word"), k).alias("kmer")).where("kmer is not null").distinct()
+    held = kmers.kmer_sets(nodes, "id", "sequence", k)
+    met = salted_join(held, coded.hint("merge"), "kmer", "id", hot=hot_keys(kmers.kmer_sets(nodes.sample(0.05, 1), "id", "sequence", k), "kmer"))
+    found = met.select(kmer_text(F.col("kmer"), k).alias("word"), "id")
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy("id"))).where(F.col("_r") <= per_word).drop("_r")
 
 
+def candidate_nodes(reads: DataFrame, nodes: DataFrame, k: int = 31, top: int = 5, least: int = 1) -> DataFrame:
+    """read_id, id, hits, rank: the nodes that share the most k-mers with each read, ties by id."""
+    found = kmers.hits(kmers.kmer_sets(reads, "read_id", "sequence", k), kmers.kmer_sets(nodes, "id", "sequence", k), "read_id", "id", least)
+    rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("hits"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def node_scores(mappings: DataFrame) -> DataFrame:
     """id, total: the summed scores of all reads mapped to a node."""
     return mappings.groupBy("id").agg(F.sum("score").alias("total"))

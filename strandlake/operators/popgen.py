@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 
 def presence(nodes: DataFrame, site: Column | None = None) -> DataFrame:
     """hap, individual_id, haplotype, site of scale-0 variants whose mean frequency is above 0."""
@@ -70,19 +72,59 @@ def specific(present: DataFrame, by: str, population: str) -> DataFrame:
     return own.join(present.where(F.col(by) != population).select("site").distinct(), "site", "left_anti")
 
 
-def hamming(present: DataFrame) -> DataFrame:
-    """hap_a < hap_b and the share of all sites at which they differ.
+def hamming(present: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Pairs of haplotypes that have a site in common, and the share of all sites at which they differ: hap_a, hap_b, distance.
 
-    From set sizes: two haplotypes differ at n_a + n_b - 2 common sites; only
-    haplotypes that share a site meet in the join. The result has a row for each pair.
+    From set sizes: two haplotypes differ at n_a + n_b - 2 common sites, so pairs without a
+    common site, which are not listed, differ at n_a + n_b of them. With ``queries`` (hap) each of those is held against
+    all others; without, every pair comes once, hap_a < hap_b. Sites that many haplotypes have are spread over many tasks.
     """
     sizes = present.groupBy("hap").agg(F.count("*").alias("n"))
     total = present.agg(F.count_distinct("site").alias("sites"))
-    a, b = present.select(F.col("hap").alias("hap_a"), "site"), present.select(F.col("hap").alias("hap_b"), "site")
-    common = a.join(b, "site").where("hap_a < hap_b").groupBy("hap_a", "hap_b").agg(F.count("*").alias("common"))
-    pairs = sizes.select(F.col("hap").alias("hap_a"), F.col("n").alias("n_a")).join(sizes.select(F.col("hap").alias("hap_b"), F.col("n").alias("n_b")), F.col("hap_a") < F.col("hap_b"))
-    joined = pairs.join(common, ["hap_a", "hap_b"], "left").join(F.broadcast(total))  # one row
-    return joined.select("hap_a", "hap_b", ((F.col("n_a") + F.col("n_b") - 2 * F.coalesce("common", F.lit(0))) / F.col("sites")).alias("distance"))
+    own = present if queries is None else present.join(queries.select("hap").distinct(), "hap", "left_semi")
+    a, b = own.select(F.col("hap").alias("hap_a"), "site"), present.select(F.col("hap").alias("hap_b"), "site")
+    apart = F.col("hap_a") < F.col("hap_b") if queries is None else F.col("hap_a") != F.col("hap_b")
+    common = salted_join(b, a, "site", "hap_b", on=apart).groupBy("hap_a", "hap_b").agg(F.count("*").alias("common"))
+    sized = common.join(sizes.select(F.col("hap").alias("hap_a"), F.col("n").alias("n_a")), "hap_a").join(sizes.select(F.col("hap").alias("hap_b"), F.col("n").alias("n_b")), "hap_b")
+    joined = sized.join(F.broadcast(total))  # one row
+    return joined.select("hap_a", "hap_b", ((F.col("n_a") + F.col("n_b") - 2 * F.col("common")) / F.col("sites")).alias("distance"))
+
+
+def hap_sites(present: DataFrame) -> DataFrame:
+    """hap, n (its sites), sites (of all): what tells the distance of the pairs that hamming() does not list, (n_a + n_b) / sites."""
+    total = present.agg(F.count_distinct("site").alias("sites"))
+    return present.groupBy("hap").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
+
+
+def mean_fst(pairs: DataFrame) -> DataFrame:
+    """Of fst(): pairs of populations and the mean of their values, 0 without pairs."""
+    return pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.avg("fst"), F.lit(0.0)).alias("mean_fst"))
+
+
+def cohort(present: DataFrame, individuals: DataFrame) -> DataFrame:
+    """present of the listed individuals (individual_id) only."""
+    return present.join(individuals.select("individual_id").distinct(), "individual_id", "left_semi").select(*present.columns)
+
+
+def site_facts(nodes: DataFrame, chromosome: int | None = None) -> DataFrame:
+    """Variant sites with their kind: chromosome, start_pos, variant_type, n (nodes), and the facts of the first node by id: id, frequency.
+
+    A chromosome of None or 0 means all.
+    """
+    rows = nodes.where((F.col("scale_level") == 0) & F.col("variant_type").isNotNull())
+    rows = rows.where(F.col("chromosome") == chromosome) if chromosome else rows
+    first = F.min(F.struct("id", "frequency")).alias("f")
+    return rows.groupBy("chromosome", "start_pos", "variant_type").agg(F.count("*").alias("n"), first).select("chromosome", "start_pos", "variant_type", "n", F.col("f.id").alias("first_id"), F.col("f.frequency").alias("frequency"))
+
+
+def diversity_report(present: DataFrame, by: str) -> DataFrame:
+    """metrics() of each population with its own sites (specific_sites, that no other population has) and the mean Fst with the others."""
+    owners = present.select("site", by).distinct().groupBy("site").agg(F.count("*").alias("pops"), F.min(by).alias(by)).where("pops = 1")
+    own = owners.groupBy(by).agg(F.count("*").alias("specific_sites"))
+    pairs = fst(present, by)
+    each = pairs.select(F.explode(F.array("pop_a", "pop_b")).alias(by), "fst").groupBy(by).agg(F.avg("fst").alias("mean_fst"))
+    out = metrics(present, by).join(own, by, "left").join(each, by, "left")
+    return out.withColumn("specific_sites", F.coalesce("specific_sites", F.lit(0))).withColumn("mean_fst", F.coalesce("mean_fst", F.lit(0.0)))
 
 
 def dosages(present: DataFrame) -> DataFrame:

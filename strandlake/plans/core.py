@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..functions.text import identifier, kmer_text
 from ..operators import annotate, association, census, embed, graph, intervals, kmers, pipelines, popgen, regions, rnaseq, temporal
 from ..sinks import exports
 from ..sources import segments
-from .genome import PRELUDE, alignments, edges, events, gene_regions, nodes, populations, transcripts
+from .genome import PRELUDE, alignments, call_populations, calls, edges, events, gene_regions, nodes, paths, populations, transcripts
 from .tables import table
 
 QUERIES: dict = {}
@@ -24,21 +24,29 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = PRELUDE + sql
+            ORACLE[f.__name__] = recursive(PRELUDE) + sql
         return f
 
     return register
 
 
-def site_query(sql: str | None = None):
-    """Registers a query over bins of 20 kb and, as name_exact, the same over exact sites."""
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+def site_query(body: str | None = None, prefix=None, binned: bool = True):
+    """Registers a query over the exact sites of the calls and, as name_binned, the same over the nodes' variants in bins of BIN bases."""
 
     def register(f):
-        name = f"{f.__name__}_exact"
-        QUERIES[name] = partial(f, exact=True)
-        if sql:
-            ORACLE[name] = PRELUDE + sql.replace("start_pos // 20000", "start_pos")
-        return query(sql)(f)
+        QUERIES[f.__name__] = f
+        if body:
+            ORACLE[f.__name__] = PRELUDE + (prefix or sites_sql)(True) + body
+        if binned:
+            name = f"{f.__name__}_binned"
+            QUERIES[name] = partial(f, exact=False)
+            if body:
+                ORACLE[name] = PRELUDE + (prefix or sites_sql)(False) + body
+        return f
 
     return register
 
@@ -74,9 +82,18 @@ def region_query_curve(spark, d):
     return regions.curve_region(_indexed(spark, d), *REGION, 1, order=28).select("id", "start_pos", "scale_level")
 
 
-@query("""select 2 as scale_used, 6000000 as region_size, count(*) as node_count, count(*) * 3 as cost from node where """ + _IN + " and scale_level = 2")
+# Regions of one size for each scale, the last two with a small budget.
+ADAPTIVE = [(1, 5_000, 5_900, None), (1, 0, 90_000, None), (1, 1_000_000, 7_000_000, None), (1, 0, 12_000_000, None), (2, 0, 90_000, 50), (3, 0, 12_000_000, 99)]
+
+
+@query(f""", asked(chromosome, lo, hi, budget) as (values {", ".join(str(x).replace("None", "null::int") for x in ADAPTIVE)}),
+  sized as (select *, hi - lo as size, case when hi - lo < 1000 then 0 when hi - lo < 100000 then 1 when hi - lo < 10000000 then 2 else 3 end as by_size from asked),
+  used as (select *, case when budget < 100 then least(by_size + 1, 3) else by_size end as scale_used from sized)
+  select scale_used, size as region_size, count(n.id) as node_count, count(n.id) * (scale_used + 1) as cost from used u left join node n
+  on n.chromosome = u.chromosome and n.start_pos >= lo and n.end_pos <= hi and n.scale_level = scale_used group by u.chromosome, lo, hi, scale_used, size""")
 def region_query_adaptive(spark, d):
-    return regions.adaptive_region(nodes(spark, d, "chromosome", "start_pos", "end_pos", "scale_level"), *REGION)
+    rows = nodes(spark, d, "chromosome", "start_pos", "end_pos", "scale_level")
+    return reduce(DataFrame.unionByName, [regions.adaptive_region(rows, *one) for one in ADAPTIVE])
 
 
 _MORTON = "+".join(
@@ -101,18 +118,12 @@ def scale_rollup(spark, d):
     return rows.select("chromosome", "bin", "n", r6("avg_frequency", "avg_frequency"))
 
 
-@query("""select path_id, individual_id, haplotype, coalesce(list(node order by i) filter (node is not null), []) as nodes from (
-  select p.path_id, p.individual_id, p.haplotype, p.i, n.id as node from (select distinct path_id, individual_id, haplotype, path_nodes[i + 1] as node, i
-  from (select *, unnest(range(len(path_nodes))) as i from (select path_id, min(individual_id) as individual_id, min(haplotype) as haplotype, min(path_nodes) as path_nodes from genome_path group by 1))) p
-  left join (select id from node where chromosome <= 4) n on n.id = p.node) group by 1, 2, 3""")
+@query("""select path_id, individual_id, haplotype, coalesce(list(x order by i) filter (x is not null), []) as nodes from (
+  select p.path_id, p.individual_id, p.haplotype, p.i, n.id as x from (select *, path_nodes[i + 1] as node from (select *, unnest(range(greatest(len(path_nodes), 1))) as i from gp)) p
+  left join (select distinct upper(id) as id from node where """ + _IN + """) n on n.id = p.node) group by 1, 2, 3""")
 def path_region_restriction(spark, d):
-    paths = _paths(spark, d)
-    return regions.restrict_paths(paths, nodes(spark, d, "chromosome").where("chromosome <= 4"))
-
-
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each path_id; repeated rows may spell node ids differently, the smallest list stays."""
-    return table(spark, d, "genome_path").groupBy("path_id").agg(F.min("individual_id").alias("individual_id"), F.min("haplotype").alias("haplotype"), F.min("path_nodes").alias("path_nodes"))
+    rows = _keyed(spark, d, "chromosome", "start_pos", "end_pos").where(regions.contained(*REGION))
+    return regions.restrict_paths(paths(spark, d), rows)
 
 
 # --- counts
@@ -184,11 +195,11 @@ def variant_type_counts(spark, d):
     return census.counts(nodes(spark, d, "variant_type").where("variant_type is not null"), "variant_type")
 
 
-@query("""select 'GenomeNode' as kind, count(*) as n from node union all select 'CONNECTS', count(*) from edge union all select 'GenomePath', count(distinct path_id) from genome_path
+@query("""select 'GenomeNode' as kind, count(*) as n from node union all select 'CONNECTS', count(*) from edge union all select 'GenomePath', count(*) from gp
   union all select 'TranscriptVariant', count(*) from tv union all select 'Kmer', count(distinct kmer_id) from kmer""")
 def structure_census(spark, d):
     return census.structure(
-        {"GenomeNode": nodes(spark, d), "CONNECTS": edges(spark, d), "GenomePath": _paths(spark, d), "TranscriptVariant": transcripts(spark, d), "Kmer": table(spark, d, "kmer").select("kmer_id").distinct()}
+        {"GenomeNode": nodes(spark, d), "CONNECTS": edges(spark, d), "GenomePath": paths(spark, d), "TranscriptVariant": transcripts(spark, d), "Kmer": table(spark, d, "kmer").select("kmer_id").distinct()}
     )
 
 
@@ -214,12 +225,27 @@ def perf_rollup(spark, d):
     return census.performance_rollup(metrics).withColumns({c: F.round(c, 6) for c in ("success_rate", "mean_seconds")})
 
 
-@query("""select round(corr(n_chars, length(text) + doc_id % 7), 6) as correlation, round(regr_slope(length(text) + doc_id % 7, n_chars), 6) as slope, round(regr_intercept(length(text) + doc_id % 7, n_chars), 4) as intercept, 'Linear' as scaling from documents""")
+@query("""select 'exact' as suite, corr(n_chars, length(text)) as r, regr_slope(length(text), n_chars) as m from documents union all select 'mixed', corr(n_chars, n_chars + 6000 * (doc_id % 2)), regr_slope(n_chars + 6000 * (doc_id % 2), n_chars) from documents
+  union all select 'unrelated', corr(n_chars, (doc_id * 7919) % 1009), regr_slope((doc_id * 7919) % 1009, n_chars) from documents""".join(["select suite, round(r, 6) as correlation, round(m, 6) as slope, case when r > 0.8 then 'Linear' when r > 0.5 then 'Sub-linear' else 'Optimal' end as scaling from (", ")"]))
 def perf_trend(spark, d):
-    rows = table(spark, d, "documents").select(F.col("n_chars").cast("double").alias("x"), (F.length("text") + F.col("doc_id") % 7).cast("double").alias("y"))
+    rows = table(spark, d, "documents").select(F.col("n_chars").cast("double").alias("size"), F.length("text").alias("t"), "doc_id", "n_chars")
+    seconds = {"exact": F.col("t"), "mixed": F.col("n_chars") + 6000 * (F.col("doc_id") % 2), "unrelated": (F.col("doc_id") * 7919) % 1009}
+    each = rows.select("size", F.inline(F.array(*(F.struct(F.lit(k).alias("suite"), v.cast("double").alias("seconds")) for k, v in seconds.items()))))
+    return census.scaling(each).select("suite", r6("correlation", "correlation"), r6("slope", "slope"), "scaling")
+
+
+@query("select round(corr(n_chars, length(text)), 6) as correlation, round(regr_slope(length(text), n_chars), 6) as slope, round(regr_intercept(length(text), n_chars), 4) as intercept, case when corr(n_chars, length(text)) > 0.8 then 'Linear' when corr(n_chars, length(text)) > 0.5 then 'Sub-linear' else 'Optimal' end as scaling from documents")
+def perf_trend_line(spark, d):
+    rows = table(spark, d, "documents").select(F.col("n_chars").cast("double").alias("x"), F.length("text").cast("double").alias("y"))
     return census.trend(rows, "x", "y").select(r6("correlation", "correlation"), r6("slope", "slope"), F.round("intercept", 4).alias("intercept"), "scaling")
 
 
+@query("select props as complexity, count(*) as runs, round(avg((event_type <> 'error')::int::double), 6) as success_rate, round(avg(value), 6) as mean_seconds, list_sort(list(distinct event_type)) as operations from events group by 1")
+def perf_by_complexity(spark, d):
+    metrics = table(spark, d, "events").select("props", F.col("event_type").alias("operation"), F.col("value").alias("seconds"), (F.col("event_type") != "error").alias("success"))
+    return census.performance_by(metrics, "props").withColumns({c: F.round(c, 6) for c in ("success_rate", "mean_seconds")}).withColumnRenamed("props", "complexity")
+
+
 # --- edges and paths
 
 
@@ -241,6 +267,16 @@ def induced_subgraph(spark, d):
     return graph.induced(edges(spark, d), part).select("edge_id", "from_node", "to_node")
 
 
+@query("select coalesce(a.id, b.id) as id, coalesce(a.n, 0) as out_degree, coalesce(b.n, 0) as in_degree from (select from_node as id, count(*) as n from edge group by 1) a full join (select to_node as id, count(*) as n from edge group by 1) b on a.id = b.id")
+def node_degrees(spark, d):
+    return graph.degrees(edges(spark, d))
+
+
+@query("select count(*) as total_edges, count(distinct edge_type) as edge_types from edge")
+def edge_totals(spark, d):
+    return census.edge_totals(edges(spark, d))
+
+
 @query("select from_node as id, count(*) as out_degree from edge group by 1 having count(*) > 3 order by 2 desc, 1 limit 20")
 def hub_nodes(spark, d):
     return graph.hubs(edges(spark, d))
@@ -256,13 +292,31 @@ _ROUTES = """, src as (select from_node as id from edge group by 1 order by coun
 e1 as (select from_node, to_node, max(coalesce(frequency, 0) * (1 + coalesce(recombination_rate, 0))) as w from edge where frequency > 0.01 group by 1, 2),"""
 
 
-def _routes(spark: SparkSession, d: str, max_hops: int) -> DataFrame:
-    rows = edges(spark, d)
+def breadth_first_sql(name: str, routes: str, steps: str, hops: int, avoid: str = "false") -> str:
+    """CTE ``name`` (route, path, hops, score): of ``routes`` (route, source, target) the shortest paths over ``steps`` (from_node, to_node, w), of equal ones the smallest list.
+
+    Places are found by depth first, then paths along places of growing least depth; to be put after "with recursive".
+    """
+    return f"""{name}_at(route, node, depth) as (select route, source, 0 from {routes} union
+  select a.route, e.to_node, a.depth + 1 from {name}_at a join {steps} e on e.from_node = a.node where a.depth < {hops} and not ({avoid.format(route="a.route", node="e.to_node")})),
+{name}_least as (select route, node, min(depth) as depth from {name}_at group by 1, 2),
+{name}_grown(route, node, depth, path, score) as (select route, source, 0, [source], 1.0::double from {routes} union all
+  select g.route, e.to_node, g.depth + 1, min(list_append(g.path, e.to_node)), arg_min(g.score * e.w, list_append(g.path, e.to_node)) from {name}_grown g
+  join {steps} e on e.from_node = g.node join {name}_least l on l.route = g.route and l.node = e.to_node and l.depth = g.depth + 1 group by g.route, e.to_node, g.depth),
+{name} as (select r.route, g.path, (len(g.path) - 1)::int as hops, g.score from {routes} r join {name}_grown g on g.route = r.route and g.node = r.target)"""
+
+
+def _hub_routes(rows: DataFrame) -> DataFrame:
+    """From each of the five nodes with the most outgoing edges to each of the five with the most incoming ones."""
     deg = graph.degrees(rows)
     src = deg.where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(5).select(F.col("id").alias("source"))
     dst = deg.where("in_degree > 0").orderBy(F.desc("in_degree"), "id").limit(5).select(F.col("id").alias("target"))
-    routes = src.join(F.broadcast(dst)).select(F.concat_ws(">", "source", "target").alias("route"), "source", "target")  # 25 rows
-    found = graph.shortest_paths(rows, routes, max_hops, F.col("frequency") > 0.01)
+    return src.join(F.broadcast(dst)).select(F.concat_ws(">", "source", "target").alias("route"), "source", "target")  # 25 rows
+
+
+def _routes(spark: SparkSession, d: str, max_hops: int) -> DataFrame:
+    rows = edges(spark, d)
+    found = graph.shortest_paths(rows, _hub_routes(rows), max_hops, F.col("frequency") > 0.01)
     return found.select("route", "path", "hops", r6("score", "score"))
 
 
@@ -279,12 +333,36 @@ def shortest_route(spark, d):
     return _routes(spark, d, 4)
 
 
-@query()
+_PAIRS = ", rt as (select s.id || '>' || t.id as route, s.id as source, t.id as target from src s, dst t),"
+
+
+@query(_ROUTES.rstrip(",") + _PAIRS + breadth_first_sql("sp", "rt", "e1", 50) + " select route, path, hops, round(score, 6) as score from sp")
 def shortest_route_whole(spark, d):
     """The same routes within 50 hops."""
     return _routes(spark, d, 50)
 
 
+_TYPES = ["linear", "variant", "structural"]
+
+
+@query(_ROUTES.replace("frequency > 0.01", "frequency > 0.01 and edge_type in ('linear', 'variant', 'structural')").rstrip(",") + _PAIRS + breadth_first_sql("sp", "rt", "e1", 50)
+       + " select route, path, hops, round(score, 6) as score from sp order by sp.score desc, route limit 10")
+def best_routes(spark, d):
+    """The ten routes of the highest product of frequencies, within 50 hops, over three types of edges."""
+    rows = edges(spark, d)
+    return graph.best_routes(rows, _hub_routes(rows), _TYPES).select("route", "path", "hops", r6("score", "score"))
+
+
+@query(""", src as (select from_node as id from edge group by 1 order by count(*) desc, 1 limit 5),
+t(hops, tip, used) as (select 1, to_node, [edge_id] from edge where from_node in (select id from src) union all select hops + 1, e.to_node, list_append(used, e.edge_id) from t join edge e on e.from_node = t.tip where hops < 8 and not list_contains(used, e.edge_id))
+select hops, count(*) as trails, count(distinct tip) as ends from t group by 1""")
+def trail_lengths(spark, d):
+    """How many trails of each length up to 8 start at the five nodes with the most outgoing edges, and at how many nodes they end."""
+    rows = edges(spark, d)
+    starts = graph.degrees(rows).where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(5)
+    return graph.trails_from(rows, starts, 8).groupBy("hops").agg(F.count("*").alias("trails"), F.count_distinct(F.element_at("path", -1)).alias("ends"))
+
+
 @query(""", rare as (select distinct upper(id) as id from node where frequency < 0.2), re as (select * from edge where from_node in (select id from rare) and to_node in (select id from rare))
   select [a.from_node, a.to_node, b.to_node] as path, [a.edge_id, b.edge_id] as used from re a join re b on a.to_node = b.from_node and a.edge_id <> b.edge_id""")
 def rare_paths(spark, d):
@@ -300,17 +378,40 @@ def rare_trails(spark, d):
     return graph.rare_paths(_keyed(spark, d, "frequency"), edges(spark, d), 0.2, 3, 5)
 
 
-@query()
+_STEPS = "(select from_node, to_node, max(coalesce(frequency, 0) * (1 + coalesce(recombination_rate, 0))) as w from edge where {} group by 1, 2)"
+_NEAR = """(select individual_id, min_by(upper(id), (start_pos, upper(id))) as id from node where chromosome = 1 and scale_level = 0 and frequency > 0.5 and start_pos <= {0} + 3000000 and end_pos >= {0} - 3000000 group by 1)"""
+_DIPLOID = (
+    ", mo as " + _STEPS.format("frequency >= 0.01 and edge_type <> 'inversion'") + ", fa as " + _STEPS.format("frequency >= 0.005") + ", lo as " + _NEAR.format(3000000) + ", hi as " + _NEAR.format(6000000)
+    + ", rt as (select individual_id as route, lo.id as source, hi.id as target from lo join hi using (individual_id)), rf as (select * from rt), " + breadth_first_sql("ms", "rt", "mo", 100)
+    + ", taken as (select route, unnest(path[2:-2]) as node from ms where len(path) > 2), " + breadth_first_sql("fs", "rt", "fa", 100, "exists (select 1 from taken x where x.route = {route} and x.node = {node})")
+)
+
+
+@query(_DIPLOID + """ select route as individual_id, 'maternal' as haplotype, path, hops, round(score, 6) as score from ms union all select route, 'paternal', path, hops, round(score, 6) from fs""")
 def diploid_routes(spark, d):
     rows = _keyed(spark, d, "individual_id", "chromosome", "start_pos", "end_pos", "scale_level", "frequency")
-    return graph.diploid_routes(rows, edges(spark, d), 1, 3_000_000, 6_000_000, around=3_000_000, above=0.5)
+    return graph.diploid_routes(rows, edges(spark, d), 1, 3_000_000, 6_000_000, around=3_000_000, above=0.5).withColumn("score", F.round("score", 6))
+
+
+_SV = """, sv as (select distinct variant_type, chromosome, start_pos, start_pos + 500000 as end_pos, frequency from node where scale_level = 3),
+svn as (select 'sv_' || coalesce(variant_type, 'complex') || '_chr' || chromosome || '_' || start_pos || '_' || (row_number() over (partition by coalesce(variant_type, 'complex'), chromosome, start_pos order by end_pos) - 1) as id, coalesce(variant_type, 'complex') as variant_type, chromosome, start_pos, end_pos, frequency from sv)"""
+
 
+def _structural(spark: SparkSession, d: str) -> DataFrame:
+    """A structural variant of 500 kb at each start of a node of scale 3."""
+    rows = nodes(spark, d, "variant_type", "chromosome", "start_pos", "frequency", "scale_level").where("scale_level = 3")
+    spans = rows.select(F.coalesce("variant_type", F.lit("complex")).alias("variant_type"), "chromosome", "start_pos", (F.col("start_pos") + 500_000).alias("end_pos"), "frequency", F.lit("G").alias("sequence")).distinct()
+    return graph.variant_node("sv", 0, "sv", spans)
 
-@query("""select a.id as from_id, v.id as to_id, 'variant' as edge_type from node v join node a on a.chromosome = v.chromosome and a.start_pos >= v.start_pos and a.end_pos <= v.end_pos and a.id <> v.id
-  where v.scale_level = 2""")
+
+@query(_SV + "select id, variant_type, chromosome, start_pos, end_pos, frequency from svn")
+def variant_nodes(spark, d):
+    return _structural(spark, d).select("id", "variant_type", "chromosome", "start_pos", "end_pos", "frequency")
+
+
+@query(_SV + """select a.id as from_id, v.id as to_id, 'variant' as edge_type from svn v join node a on a.chromosome = v.chromosome and a.start_pos >= v.start_pos and a.end_pos <= v.end_pos""")
 def variant_edges(spark, d):
-    rows = nodes(spark, d, "chromosome", "start_pos", "end_pos", "scale_level")
-    return graph.variant_edges(rows, rows.where("scale_level = 2"))
+    return graph.variant_edges(nodes(spark, d, "chromosome", "start_pos", "end_pos"), _structural(spark, d))
 
 
 # --- intervals
@@ -335,12 +436,22 @@ def gene_annot_arrays(spark, d):
 
 
 @query("""select a.individual_id as individual_a, b.individual_id as individual_b, a.chromosome, count(*) as n from node a join node b on a.chromosome = b.chromosome and a.individual_id < b.individual_id
-  and abs(a.start_pos - b.start_pos) < 1000 where a.scale_level = 0 and b.scale_level = 0 group by 1, 2, 3""")
+  and abs(a.start_pos - b.start_pos) < 100000 where a.scale_level = 0 and b.scale_level = 0 group by 1, 2, 3""")
 def proximity_selfjoin(spark, d):
+    return _near_pairs(spark, d)
+
+
+@query("""select a.individual_id as individual_a, b.individual_id as individual_b, a.chromosome, count(*) as n from node a join node b on a.chromosome = b.chromosome and a.individual_id < b.individual_id
+  and abs(a.start_pos - b.start_pos) < 100000 where a.scale_level = 0 and b.scale_level = 0 group by 1, 2, 3 order by n desc, 1, 2, 3 limit 20""")
+def proximity_top(spark, d):
+    return _near_pairs(spark, d).orderBy(F.desc("n"), "individual_a", "individual_b", "chromosome").limit(20)
+
+
+def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = nodes(spark, d, "individual_id", "chromosome", "start_pos", "scale_level").where("scale_level = 0")
     a = rows.select("chromosome", F.col("individual_id").alias("individual_a"), F.col("start_pos").alias("pos_a"))
     b = rows.select("chromosome", F.col("individual_id").alias("individual_b"), F.col("start_pos").alias("pos_b"))
-    pairs = intervals.distance_join(a, b, "chromosome", "pos_a", "pos_b", 1000).where("individual_a < individual_b")
+    pairs = intervals.distance_join(a, b, "chromosome", "pos_a", "pos_b", 100_000).where("individual_a < individual_b")
     return census.counts(pairs, "individual_a", "individual_b", "chromosome")
 
 
@@ -352,64 +463,97 @@ def cis_window_join(spark, d):
 
 # --- populations and association
 
-_SITES = """, present as (select individual_id || '_h' || haplotype as hap, individual_id, haplotype, chromosome || '_' || (start_pos // 20000) as site from node
-  where scale_level = 0 and variant_type is not null group by individual_id, haplotype, chromosome, start_pos // 20000 having avg(frequency) > 0),
-pp as (select present.*, population from present join pop using (individual_id)),
+BIN = 500_000
+
+
+def sites_sql(exact: bool) -> str:
+    rows, site, number, pop = ("call", "start_pos", 5, "call_pop") if exact else ("node", f"(start_pos // {BIN})", 4, "pop")
+    return f""", present as (select individual_id || '_h' || haplotype as hap, individual_id, haplotype, chromosome || '_' || {site} as site from {rows}
+  where {"" if exact else "scale_level = 0 and"} variant_type is not null group by individual_id, haplotype, chromosome, {site} having avg(frequency) > 0),
+people as (select distinct individual_id, substr(individual_id, {number})::bigint as number from {rows}),
+pp as (select present.*, population from present join {pop} using (individual_id)),
 nh as (select population, count(distinct hap) as n_hap from pp group by 1),
 fr as (select population, site, count(*) as carriers, n_hap, count(*) / n_hap as p from pp join nh using (population) group by population, site, n_hap) """
 
 
-def _present(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    """Sites are bins of 20 kb, so that haplotypes share some, or with ``exact`` the variants' own positions."""
+def _present(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
+    if exact:
+        return popgen.presence(calls(spark, d))
     rows = nodes(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "frequency", "scale_level", "variant_type")
-    return popgen.presence(rows, None if exact else F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / 20_000).cast("string")))
+    return popgen.presence(rows, F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / BIN).cast("string")))
 
 
-def _by_population(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    return _present(spark, d, exact).join(populations(spark, d), "individual_id")
+def _by_population(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
+    return _present(spark, d, exact).join(call_populations(spark, d) if exact else populations(spark, d), "individual_id")
 
 
-@site_query(_SITES + "select hap, individual_id, haplotype, site from present")
-def presence_matrix_long(spark, d, exact=False):
+@site_query("select hap, individual_id, haplotype, site from present")
+def presence_matrix_long(spark, d, exact=True):
     return _present(spark, d, exact)
 
 
-@site_query(_SITES + ", n as (select count(distinct hap) as n from present) select site, count(*) as carriers, round(count(*) / max(n), 6) as p from present, n group by 1 having count(*) / max(n) between 0.05 and 0.95")
-def allele_freq_maf(spark, d, exact=False):
+@site_query(", n as (select count(distinct hap) as n from present) select site, count(*) as carriers, round(count(*) / max(n), 6) as p from present, n group by 1 having count(*) / max(n) between 0.05 and 0.95")
+def allele_freq_maf(spark, d, exact=True):
     return popgen.common_sites(popgen.site_frequencies(_present(spark, d, exact))).select("site", "carriers", r6("p", "p"))
 
 
-@site_query(_SITES + """, st as (select population, n_hap, count(*) as sites, avg(2 * p * (1 - p)) as eh, count(*) filter (carriers < n_hap) as s, sum(carriers * (n_hap - carriers)) as diff from fr group by 1, 2),
+@site_query(""", st as (select population, n_hap, count(*) as sites, avg(2 * p * (1 - p)) as eh, count(*) filter (carriers < n_hap) as s, sum(carriers * (n_hap - carriers)) as diff from fr group by 1, 2),
 two as (select individual_id from pp group by 1 having count(distinct haplotype) = 2),
 oh as (select population, count(*) filter (h = 1) as mixed, count(distinct individual_id) as people from (select population, individual_id, site, count(distinct haplotype) as h from pp where individual_id in (select individual_id from two) group by 1, 2, 3) group by 1),
 f as (select st.*, coalesce(mixed / (people * sites), 0) as oh, list_sum([1.0 / i for i in range(1, greatest(n_hap, 2))]) as a1 from st left join oh using (population))
 select population, n_hap as population_size, sites, round(eh, 6) as expected_het, round(oh, 6) as observed_het, round(case when eh > 0 then (eh - oh) / eh else 0 end, 6) as fis,
   round(eh, 6) as pi, round(case when n_hap < 3 or s = 0 then 0 else (diff / (n_hap * (n_hap - 1) / 2) - s / a1) / sqrt(s / a1) end, 6) as tajimas_d from f""")
-def pop_metrics(spark, d, exact=False):
+def pop_metrics(spark, d, exact=True):
     rows = popgen.metrics(_by_population(spark, d, exact), "population")
     return rows.withColumns({c: F.round(c, 6) for c in ("expected_het", "observed_het", "fis", "pi", "tajimas_d")})
 
 
-@site_query(_SITES + """select a.population as pop_a, b.population as pop_b, round(coalesce(avg(case when a.p * (1 - a.p) + b.p * (1 - b.p) > 0 then ((a.p - b.p) / 2) ** 2 / (a.p * (1 - a.p) + b.p * (1 - b.p)) end), 0), 6) as fst, count(*) as common_sites
+@site_query("""select a.population as pop_a, b.population as pop_b, round(coalesce(avg(case when a.p * (1 - a.p) + b.p * (1 - b.p) > 0 then ((a.p - b.p) / 2) ** 2 / (a.p * (1 - a.p) + b.p * (1 - b.p)) end), 0), 6) as fst, count(*) as common_sites
   from fr a join fr b on a.site = b.site and a.population < b.population group by 1, 2""")
-def fst_pairwise(spark, d, exact=False):
+def fst_pairwise(spark, d, exact=True):
     return popgen.fst(_by_population(spark, d, exact), "population").select("pop_a", "pop_b", r6("fst", "fst"), "common_sites")
 
 
-@site_query(_SITES + "select distinct site from pp where population = 'POP0' and site not in (select site from pp where population <> 'POP0')")
-def population_specific_variants(spark, d, exact=False):
-    return popgen.specific(_by_population(spark, d, exact), "population", "POP0")
+@query(sites_sql(False) + "select distinct site from pp where population = 'POP0' and site not in (select site from pp where population <> 'POP0')")
+def population_specific_variants(spark, d):
+    """Over bins of BIN bases of the nodes' variants: every site of the calls is in all populations."""
+    return popgen.specific(_by_population(spark, d, False), "population", "POP0")
 
 
-@site_query(_SITES + """, h as (select hap, count(*) as n from present group by 1), t as (select count(distinct site) as sites from present)
-select a.hap as hap_a, b.hap as hap_b, round((a.n + b.n - 2 * (select count(*) from present x join present y on x.site = y.site where x.hap = a.hap and y.hap = b.hap)) / sites, 6) as distance
-from h a join h b on a.hap < b.hap, t""")
-def hamming_distance(spark, d, exact=False):
-    return popgen.hamming(_present(spark, d, exact)).select("hap_a", "hap_b", r6("distance", "distance"))
+_FST = ", f as (select a.population as pa, b.population as pb, coalesce(avg(case when a.p * (1 - a.p) + b.p * (1 - b.p) > 0 then ((a.p - b.p) / 2) ** 2 / (a.p * (1 - a.p) + b.p * (1 - b.p)) end), 0) as v from fr a join fr b on a.site = b.site and a.population < b.population group by 1, 2) "
 
 
-_GWAS = _SITES + """, dose as (select individual_id, site, least(2, count(*)) as dosage from present group by 1, 2),
-ph as (select distinct individual_id, substr(individual_id, 4)::bigint % 2 = 0 as is_case from genome_node),
+@site_query(_FST + "select count(*) as pairs, round(coalesce(avg(v), 0), 6) as mean_fst from f")
+def fst_mean(spark, d, exact=True):
+    return popgen.mean_fst(popgen.fst(_by_population(spark, d, exact), "population")).select("pairs", r6("mean_fst", "mean_fst"))
+
+
+@site_query(_FST + """, own as (select population, count(*) as k from (select site, min(population) as population from (select distinct site, population from pp) group by 1 having count(*) = 1) group by 1),
+each as (select population, avg(v) as m from (select pa as population, v from f union all select pb, v from f) group by 1)
+select population, n_hap as population_size, coalesce(k, 0) as specific_sites, round(coalesce(m, 0), 6) as mean_fst from nh left join own using (population) left join each using (population)""")
+def diversity_report(spark, d, exact=True):
+    return popgen.diversity_report(_by_population(spark, d, exact), "population").select("population", "population_size", "specific_sites", r6("mean_fst", "mean_fst"))
+
+
+@site_query(""", h as (select hap, count(*) as n from present group by 1), t as (select count(distinct site) as sites from present),
+q as (select distinct hap from present join people using (individual_id) where number % 50 = 0 or (select max(number) < 50 from people)),
+c as (select x.hap as hap_a, y.hap as hap_b, count(*) as common from present x join present y on x.site = y.site and x.hap <> y.hap where x.hap in (select hap from q) group by 1, 2)
+select hap_a, hap_b, round((a.n + b.n - 2 * common) / sites, 6) as distance from c join h a on a.hap = hap_a join h b on b.hap = hap_b, t""")
+def hamming_distance(spark, d, exact=True):
+    """Haplotypes of the individuals whose number is divisible by 50 against all; of all where no number reaches 50."""
+    present = _present(spark, d, exact)
+    number = F.substring("individual_id", 5 if exact else 4, 20).cast("bigint")
+    people = present.select("hap", number.alias("number"))
+    asked = people.where("number % 50 = 0") if people.agg(F.max("number")).first()[0] >= 50 else people
+    return popgen.hamming(present, asked).select("hap_a", "hap_b", r6("distance", "distance"))
+
+
+def gwas_sql(exact: bool) -> str:
+    return sites_sql(exact) + _GWAS
+
+
+_GWAS = """, dose as (select individual_id, site, least(2, count(*)) as dosage from present group by 1, 2),
+ph as (select individual_id, number % 2 = 0 as is_case from people),
 pc as (select count(*) filter (is_case) as cases, count(*) filter (not is_case) as controls from ph),
 cnt as (select site, count(*) filter (is_case) as a, count(*) filter (not is_case) as c, sum(dosage) as tot, sum(dosage * dosage) as sq from dose join ph using (individual_id) group by 1),
 ab as (select site, a, cases - a as b, c, controls - c as d, tot, cases + controls as n from cnt, pc where sq * (cases + controls) <> tot * tot),
@@ -418,26 +562,27 @@ g as (select site, a, b, c, d, (abs(a-ea) - least(0.5, abs(a-ea)))**2/ea + (abs(
   case when b = 0 or c = 0 then (a+0.5)*(d+0.5)/((b+0.5)*(c+0.5)) else a*d/(b*c) end as orr, tot / n as mean_dosage from ex) """
 
 
-def _phenotype(spark: SparkSession, d: str) -> DataFrame:
-    return populations(spark, d).select("individual_id", (F.substring("individual_id", 4, 20).cast("bigint") % 2 == 0).alias("is_case"))
+def _phenotype(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
+    people = (calls(spark, d) if exact else nodes(spark, d, "individual_id")).select("individual_id").distinct()
+    return people.select("individual_id", (F.substring("individual_id", 5 if exact else 4, 20).cast("bigint") % 2 == 0).alias("is_case"))
 
 
-def _gwas(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    return association.gwas(popgen.dosages(_present(spark, d, exact)), _phenotype(spark, d))
+def _gwas(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
+    return association.gwas(popgen.dosages(_present(spark, d, exact)), _phenotype(spark, d, exact))
 
 
-@site_query(_GWAS + "select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g")
-def gwas_chi2(spark, d, exact=False):
+@site_query("select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g", gwas_sql)
+def gwas_chi2(spark, d, exact=True):
     return _gwas(spark, d, exact).withColumns({c: F.round(c, 6) for c in ("chi2", "odds_ratio", "beta", "mean_dosage")})
 
 
 @site_query()
-def gwas_pvalue(spark, d, exact=False):
+def gwas_pvalue(spark, d, exact=True):
     return association.with_pvalues(_gwas(spark, d, exact)).orderBy("pvalue", "site").limit(20)
 
 
 @site_query()
-def gwas_lambda(spark, d, exact=False):
+def gwas_lambda(spark, d, exact=True):
     return association.genomic_inflation(association.with_pvalues(_gwas(spark, d, exact)))
 
 
@@ -461,33 +606,29 @@ def bh_qvalues_all(spark, d):
     return bh_qvalues(_eqtl_rows(spark, d), "pvalue").select("eqtl_id", r6("qvalue", "qvalue"))
 
 
-def _expression(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "transcript_variant").where("gene_id is not null")
-    return rows.groupBy("individual_id", "gene_id").agg(F.sum(F.when(~F.isnan("expression_level"), F.col("expression_level"))).alias("level"))
-
-
-def _eqtl(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    """The sites of a chromosome against the genes on it."""
-    present = _present(spark, d, exact)
-    where = table(spark, d, "transcript_variant").where("chromosome is not null and gene_id is not null").groupBy("gene_id").agg(F.min("chromosome").cast("string").alias("chr"))
-    sites = present.select("site", F.split_part("site", F.lit("_"), F.lit(1)).alias("chr")).distinct()
-    return association.eqtl(popgen.dosages(present), _expression(spark, d), where.join(sites, "chr").select("gene_id", "site"), least=3)
+def _eqtl(spark: SparkSession, d: str) -> DataFrame:
+    """The calls' sites within 1 Mb of a gene's start against the gene's expression: what an individual (a supplier) sells of the gene's part."""
+    present = _present(spark, d)
+    levels = table(spark, d, "lineitem").groupBy(F.concat(F.lit("IND_"), "l_suppkey").alias("individual_id"), F.concat(F.lit("GENE_"), "l_partkey").alias("gene_id")).agg((F.sum("l_extendedprice") / 997).alias("level"))
+    sites = calls(spark, d).where("variant_type is not null").select("chromosome", "start_pos", F.concat_ws("_", "chromosome", "start_pos").alias("site")).distinct()
+    genes = gene_regions(spark, d).select("gene_id", "chromosome", "gene_start")
+    cis = intervals.distance_join(genes, sites, "chromosome", "gene_start", "start_pos", 1_000_000, closed=True).select("gene_id", "site")
+    return association.eqtl(popgen.dosages(present), levels, cis)
 
 
-@site_query(_SITES + """, ex as (select individual_id, gene_id, sum(expression_level) filter (not isnan(expression_level)) as level from transcript_variant where gene_id is not null group by 1, 2),
-gc as (select gene_id, min(chromosome)::varchar as chr from transcript_variant where chromosome is not null and gene_id is not null group by 1),
+@site_query(""", ex as (select 'IND_' || l_suppkey as individual_id, 'GENE_' || l_partkey as gene_id, sum(l_extendedprice) / 997 as level from lineitem group by 1, 2),
 dose as (select individual_id, site, least(2, count(*)) as dosage from present group by 1, 2),
-cis as (select gene_id, site from gc join (select distinct site, split_part(site, '_', 1) as chr from present) using (chr)),
-pts as (select c.gene_id, c.site, coalesce(dosage, 0)::double as x, level as y from cis c join ex e on e.gene_id = c.gene_id and level is not null left join dose dd on dd.site = c.site and dd.individual_id = e.individual_id),
-rg as (select gene_id, site, count(*) as n, regr_slope(y, x) as slope, regr_r2(y, x) as r2, avg(x) / 2 as af from pts group by 1, 2 having count(*) >= 3 and max(x) > min(x))
-select gene_id, site, n, round(slope, 6) as slope, round(coalesce(r2, 0), 6) as r2, round(af, 6) as alt_frequency, case when slope > 0 then 'positive' else 'negative' end as direction from rg""")
-def eqtl_regression(spark, d, exact=False):
-    return _eqtl(spark, d, exact).withColumns({c: F.round(c, 6) for c in ("slope", "r2", "alt_frequency")})
+cis as (select gene_id, site from region r join (select distinct site, split_part(site, '_', 1)::int as chromosome, split_part(site, '_', 2)::bigint as pos from present) s on s.chromosome = r.chromosome and abs(pos - gene_start) <= 1000000),
+pts as (select c.gene_id, c.site, coalesce(dosage, 0)::double as x, level as y from cis c join ex e on e.gene_id = c.gene_id left join dose dd on dd.site = c.site and dd.individual_id = e.individual_id),
+rg as (select gene_id, site, count(*) as n, regr_slope(y, x) as slope, regr_r2(y, x) as r2, avg(x) / 2 as af from pts group by 1, 2 having count(*) >= 10 and max(x) > min(x))
+select gene_id, site, n, round(slope, 6) as slope, round(coalesce(r2, 0), 6) as r2, round(af, 6) as alt_frequency, case when slope > 0 then 'positive' else 'negative' end as direction from rg""", binned=False)
+def eqtl_regression(spark, d):
+    return _eqtl(spark, d).withColumns({"slope": F.round("slope", 6), "r2": F.round("r2", 6), "alt_frequency": F.round("alt_frequency", 6)})
 
 
-@site_query()
-def eqtl_significant(spark, d, exact=False):
-    return association.eqtl_significant(_eqtl(spark, d, exact)).select("gene_id", "site", "slope", "pvalue", "qvalue")
+@query()
+def eqtl_significant(spark, d):
+    return association.eqtl_significant(_eqtl(spark, d)).select("gene_id", "site", "slope", "pvalue", "qvalue")
 
 
 # --- k-mers and reads
@@ -496,46 +637,56 @@ def eqtl_significant(spark, d, exact=False):
 @query("""select kmer, count(distinct id) as node_count from (select id, substr(sequence, i::int + 1, 31) as kmer from (select id, sequence, unnest(range(length(sequence) - 30)) as i from node where length(sequence) >= 31))
   where not contains(kmer, 'N') group by 1 having count(distinct id) > 1""")
 def kmer_index_counts(spark, d):
-    shared = kmers.index(kmers.kmers(nodes(spark, d, "sequence"), "id", "sequence", 31, coded=True), "id").where("node_count > 1")
+    shared = kmers.index(kmers.kmer_sets(nodes(spark, d, "sequence"), "id", "sequence", 31), "id").where("node_count > 1")
     return shared.select(kmer_text(F.col("kmer")).alias("kmer"), "node_count")
 
 
-def _cut_reads(spark: SparkSession, d: str) -> DataFrame:
-    """A read of 300 bases from near the start of each node that is long enough."""
-    rows = nodes(spark, d, "sequence").where(F.length("sequence") >= 310)
-    return rows.select(F.concat(F.lit("r_"), "id").alias("read_id"), F.substring("sequence", 6, 300).alias("sequence"))
+READ = 250
 
 
-_MAPPED = """, rd as (select 'r_' || id as read_id, substr(sequence, 6, 300) as seq from node where length(sequence) >= 310),
-rk as (select read_id, substr(seq, i::int + 1, 31) as kmer from (select *, unnest(range(270)) as i from rd)),
-nk as (select distinct id, substr(sequence, i::int + 1, 31) as kmer from (select id, sequence, unnest(range(length(sequence) - 30)) as i from node where length(sequence) >= 31)),
+def _tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of READ bases that together cover each node from end to end; the last one ends with the node, a shorter node is one read."""
+    rows = nodes(spark, d, "sequence").where(F.length("sequence") > 0)
+    last = F.greatest(F.length("sequence") - READ, F.lit(0))
+    each = rows.select("id", "sequence", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(READ)), F.array(last)))).alias("at"))
+    return each.select(F.concat_ws("_", F.lit("r"), "id", "at").alias("read_id"), F.substring("sequence", F.col("at") + 1, F.lit(READ)).alias("sequence"), F.col("id").alias("true_node"))
+
+
+_MAPPED = """, sq as (select id, sequence as s from node where sequence <> ''),
+rd as (select distinct 'r_' || id || '_' || o as read_id, substr(s, o::int + 1, 250) as seq, id as true_node from (select id, s, unnest(list_concat(range(0, greatest(length(s) - 250, 0) + 1, 250), [greatest(length(s) - 250, 0)])) as o from sq)),
+rk as (select read_id, substr(seq, i::int + 1, 31) as kmer from (select *, unnest(range(length(seq) - 30)) as i from rd where length(seq) >= 31)),
+nk as (select distinct id, substr(s, i::int + 1, 31) as kmer from (select id, s, unnest(range(length(s) - 30)) as i from sq where length(s) >= 31)),
 hit as (select read_id, id, count(*) as hits from rk join nk using (kmer) where not contains(kmer, 'N') group by 1, 2 having count(*) >= 5),
-sc as (select h.read_id, h.id, hits, least(1.0, (hits / 270 + case when contains(n.sequence, rd.seq) then 0.2 else 0 end) * least(300, length(n.sequence)) / greatest(300, length(n.sequence))) as score
-  from hit h join rd using (read_id) join node n using (id)), mp as (select *, row_number() over (partition by read_id order by score desc, id)::int as rank from sc where score >= 0.5 qualify rank <= 10) """
+sc as (select h.read_id, h.id, hits, rd.true_node, least(1.0, (hits / (length(rd.seq) - 30) + case when contains(n.s, rd.seq) then 0.2 else 0 end) * least(length(rd.seq), length(n.s)) / greatest(length(rd.seq), length(n.s))) as score
+  from hit h join rd using (read_id) join sq n using (id)), """
+_BEST = "mp as (select *, row_number() over (partition by read_id order by score desc, id)::int as rank from sc where score >= {} qualify rank <= 10) "
 
 
-def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.map_reads(_cut_reads(spark, d), nodes(spark, d, "sequence"), min_score=0.5)
+def _mapped(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
+    return kmers.map_reads(_tiled(spark, d), nodes(spark, d, "sequence"), min_score=least)
 
 
-@query(_MAPPED + "select read_id, id, hits, round(score, 6) as score, rank from mp")
+@query(_MAPPED + _BEST.format(0.8) + "select read_id, id, hits, round(score, 6) as score, rank from mp")
 def read_mapping_topk(spark, d):
     return _mapped(spark, d).select("read_id", "id", "hits", r6("score", "score"), "rank")
 
 
-@query(_MAPPED + """, b as (select read_id, max(score) as best from mp group by 1) select count(*) as total_reads, count(best) as mapped_reads, round(count(best) / count(*), 6) as mapping_rate, round(avg(best), 6) as mean_best_score
+@query(_MAPPED + _BEST.format(0.8) + """, b as (select read_id, max(score) as best from mp group by 1) select count(*) as total_reads, count(best) as mapped_reads, round(count(best) / count(*), 6) as mapping_rate, round(avg(best), 6) as mean_best_score
   from (select distinct read_id from rd) left join b using (read_id)""")
 def mapping_report(spark, d):
-    return kmers.mapping_report(_cut_reads(spark, d), _mapped(spark, d)).withColumns({c: F.round(c, 6) for c in ("mapping_rate", "mean_best_score")})
+    return kmers.mapping_report(_tiled(spark, d), _mapped(spark, d)).withColumns({c: F.round(c, 6) for c in ("mapping_rate", "mean_best_score")})
 
 
-@query()
+@query(_MAPPED + _BEST.format(0.15) + "select (select count(*) from rd) as reads, round((select count(distinct read_id) from mp where id = true_node) / (select count(*) from rd), 6) as accuracy")
 def mapping_accuracy(spark, d):
-    reads = segments.simulated_reads(nodes(spark, d, "sequence"), 1, 250)
-    return segments.mapping_accuracy(reads, kmers.map_reads(reads, nodes(spark, d, "sequence"), min_score=0.5))
+    """Of reads that cover every node, the share that is mapped to its node. The score weighs by the lengths' ratio, so the limit is below READ bases of the longest node."""
+    reads = _tiled(spark, d)
+    return segments.mapping_accuracy(reads, _mapped(spark, d, 0.15)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query()
+@query(_MAPPED + _BEST.format(0.8) + """, ins as (select upper(n.id) as id, n.individual_id || '_h' || n.haplotype as route, n.start_pos from node n where upper(n.id) in (select upper(id) from mp) and n.chromosome = 1 and n.start_pos >= 0 and n.end_pos <= 9000000),
+rt as (select route, min_by(id, (start_pos, id)) as source, max_by(id, (start_pos, id)) as target, list(id order by start_pos, id) as line from ins group by 1), st as """ + _STEPS.format("frequency > 0.01") + ", " + breadth_first_sql("ip", "rt", "st", 20)
+       + " select rt.route, coalesce(ip.path, rt.line) as path, ip.path is not null as connected from rt left join ip on ip.route = rt.route")
 def inferred_paths(spark, d):
     found = _mapped(spark, d).select(identifier("id").alias("id"))
     return graph.inferred_paths(found, _keyed(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "end_pos"), edges(spark, d), 1, 0, 9_000_000)
@@ -567,7 +718,7 @@ def quant_proportional(spark, d):
 
 @query()
 def quant_em(spark, d):
-    return rnaseq.em_shares(_aln(spark, d), iterations=12)
+    return rnaseq.em_shares(_aln(spark, d))
 
 
 _LEN = ", ln as (select upper(trim(transcript_id, ' ' || chr(9))) as transcript_id, max(seq_length) as length from transcript_variant group by 1) "
@@ -602,9 +753,17 @@ def rna_summary(spark, d):
     return rnaseq.summary(results, rows).withColumns({c: F.round(c, 6) for c in ("mean_expression", "median_expression", "unique_rate")})
 
 
-@query("""select individual_id, gene_id, round(sum(expression_level), 6) as level from transcript_variant group by 1, 2""")
+_ONCE = """(select distinct upper(trim(transcript_id, ' ' || chr(9))) as t, individual_id, nullif(upper(trim(gene_id, ' ' || chr(9))), '') as gene_id, expression_level from transcript_variant)"""
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """The expression of each transcript once, however often its row is repeated."""
+    return transcripts(spark, d, "individual_id", "gene_id", "expression_level").withColumnRenamed("expression_level", "level")
+
+
+@query("select individual_id, gene_id, round(sum(expression_level), 6) as level from " + _ONCE + " group by 1, 2")
 def expression_matrix_long(spark, d):
-    return table(spark, d, "transcript_variant").groupBy("individual_id", "gene_id").agg(r6(F.sum("expression_level"), "level"))
+    return _levels(spark, d).groupBy("individual_id", "gene_id").agg(r6(F.sum("level"), "level"))
 
 
 @query("""select gene_id || '_' || individual_id || '_h' || haplotype as transcript_id, gene_id, individual_id, haplotype, case when strand = '-' then reverse(translate(s, 'ACGT', 'TGCA')) else s end as sequence, length(s) as length
@@ -615,11 +774,29 @@ def transcripts_built(spark, d):
     return rnaseq.build_transcripts(gene_regions(spark, d), nodes(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "end_pos", "scale_level", "sequence"))
 
 
-@query()
+@query(""", tg as (select distinct transcript_id, sequence as s from tv where sequence is not null),
+rd as (select distinct 'r_' || transcript_id || '_' || o as read_id, substr(s, o::int + 1, 52) as r from (select transcript_id, s, unnest(range(0, length(s), 52)) as o from tg where length(s) > 0)),
+rk as (select read_id, substr(r, i::int + 1, 31) as kmer from (select *, unnest(range(length(r) - 30)) as i from rd where length(r) >= 31)),
+tk as (select distinct transcript_id, substr(s, i::int + 1, 31) as kmer from (select *, unnest(range(length(s) - 30)) as i from tg where length(s) >= 31)),
+hit as (select read_id, transcript_id, count(*) as hits from rk join tk using (kmer) where not regexp_matches(kmer, '[^ACGT]') group by 1, 2),
+pr as (select read_id, transcript_id, r, s from hit join rd using (read_id) join tg using (transcript_id) where hits >= greatest(3, (length(r) - 30) // 10) and length(s) >= length(r)),
+sl as (select read_id, transcript_id, length(r) as n, i as start, hamming(substr(s, i::int + 1, length(r)), r) as off from (select *, unnest(range(length(s) - length(r) + 1)) as i from pr)),
+bs as (select read_id, transcript_id, any_value(n) as n, arg_min(start, (off, start)) as start, min(off) as off from sl group by 1, 2),
+rk2 as (select *, (n - off) / n as score, row_number() over (partition by read_id order by (n - off) / n desc, transcript_id) as rank from bs where off <= 3 and (n - off) / n >= 0.8 qualify rank <= 10)
+select read_id, transcript_id, start::int as start, off::int as mismatches, round(score, 6) as score, floor(score * 60)::int as mapq, count(*) over (partition by read_id) = 1 as is_unique from rk2""")
 def rna_align(spark, d):
-    targets = transcripts(spark, d).where("sequence is not null").select("transcript_id", "sequence")
-    reads = targets.where(F.length("sequence") >= 60).select(F.concat(F.lit("r_"), "transcript_id").alias("read_id"), F.substring("sequence", 5, 52).alias("sequence"))
-    return kmers.align(reads, targets)
+    """Reads of 52 letters that cover all transcripts, against all transcripts."""
+    return kmers.align(_rna_reads(spark, d), _targets(spark, d).select("transcript_id", "sequence")).withColumn("score", F.round("score", 6))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts(spark, d, "gene_id", "sequence").where("sequence is not null")
+
+
+def _rna_reads(spark: SparkSession, d: str) -> DataFrame:
+    rows = _targets(spark, d).where(F.length("sequence") > 0)
+    each = rows.select("transcript_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(52))).alias("at"))
+    return each.select(F.concat_ws("_", F.lit("r"), "transcript_id", "at").alias("read_id"), F.substring("sequence", F.col("at") + 1, F.lit(52)).alias("sequence"))
 
 
 # --- time
@@ -666,20 +843,21 @@ def _vector_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return paths, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
-@query("""select path_id, dim, round(m, 6) as x from (select label as path_id, i - 1 as dim, avg(embedding[i]::double) as m from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2) where dim < 64""")
+@query("""select path_id, dim::bigint as dim, round(x, 6) as x from (select path_id, i - 1 as dim, m as x from st union all select path_id, i - 1 + w, dev from st union all select path_id, i - 1 + 2 * w, top from st union all select path_id, i - 1 + 3 * w, low from st) where dim < 100""".replace("select path_id, dim::bigint", """, st as (select label as path_id, i, max(w) as w, avg(x) as m, stddev_pop(x) as dev, max(x) as top, min(x) as low
+  from (select label, i, len(embedding) as w, embedding[i]::double as x from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by 1, 2) select path_id, dim::bigint""", 1))
 def path_embedding(spark, d):
     vectors = embed.path_embedding(*_vector_paths(spark, d))
-    return vectors.select("path_id", F.posexplode("embedding").alias("dim", "x")).where("dim < 64").select("path_id", F.col("dim").cast("bigint").alias("dim"), r6("x", "x"))
+    return vectors.select("path_id", F.posexplode("embedding").alias("dim", "x")).select("path_id", F.col("dim").cast("bigint").alias("dim"), r6("x", "x"))
 
 
 @query()
 def path_clusters(spark, d):
-    return embed.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    return embed.clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @site_query()
-def structure_pca(spark, d, exact=False):
-    return embed.population_structure(_present(spark, d, exact), 3, 5)
+def structure_pca(spark, d, exact=True):
+    return embed.population_structure(_present(spark, d, exact))
 
 
 # --- scalar functions
@@ -692,16 +870,18 @@ def revcomp(spark, d):
     return rows.select("id", sequence.reverse_complement(F.col("sequence")).alias("reverse_complement"), r6(sequence.unread_share(F.col("sequence")), "unread"), place.alias("place"))
 
 
-@query("""select path_id, substr(sha256(array_to_string(p, '->')), 1, 16) as signature, len(p) as path_length from (select path_id, min(path_nodes) as p from genome_path group by 1)""")
+@query("""select path_id, substr(sha256(array_to_string(p, '->')), 1, 16) as signature, len(p) as path_length from (select path_id, path_nodes as p from gp)""")
 def route_signature(spark, d):
-    return _paths(spark, d).select("path_id", sequence.route_signature(F.col("path_nodes")).alias("signature"), F.size("path_nodes").cast("bigint").alias("path_length"))
+    return paths(spark, d).select("path_id", sequence.route_signature(F.col("path_nodes")).alias("signature"), F.size("path_nodes").cast("bigint").alias("path_length"))
 
 
-@query("""select v.path_id, v.variation.position as position, case when length(ref) = 1 and length(v.variation.allele) = 1 then 'SNP' when length(ref) < length(v.variation.allele) then 'insertion' when length(ref) > length(v.variation.allele) then 'deletion' else 'complex' end as class
-  from (select distinct path_id, unnest(variations) as variation, 'A' as ref from genome_path) v""")
+@query("""select path_id, v.position as position, ref, v.allele as alt, case when length(ref) = 1 and length(v.allele) = 1 then 'SNP' when length(ref) < length(v.allele) then 'insertion' when length(ref) > length(v.allele) then 'deletion' else 'complex' end as class
+  from (select distinct path_id, unnest(variations) as v, unnest(['A', 'AC', 'ACGTA']) as ref from (select path_id, unnest(variations) as one, [one] as variations from genome_path))""".replace("unnest(['A', 'AC', 'ACGTA']) as ref from (select path_id, unnest(variations) as one, [one] as variations from genome_path)", "ref from (select path_id, variations from genome_path) cross join (values ('A'), ('AC'), ('ACGTA')) x(ref)"))
 def variant_classify(spark, d):
+    """Each allele of the paths against a reference of one, two and five letters."""
     each = table(spark, d, "genome_path").select("path_id", F.explode("variations").alias("v")).distinct()
-    return each.select("path_id", "v.position", sequence.variant_class(F.lit("A"), F.col("v.allele")).alias("class"))
+    refs = each.select("path_id", "v", F.explode(F.array(*(F.lit(x) for x in ("A", "AC", "ACGTA")))).alias("ref"))
+    return refs.select("path_id", "v.position", "ref", F.col("v.allele").alias("alt"), sequence.variant_class(F.col("ref"), F.col("v.allele")).alias("class"))
 
 
 @query("""select name, case upper(regexp_replace(trim(name), '^[cC][hH][rR]', '')) when 'X' then 23 when 'Y' then 24 when 'M' then 25 when 'MT' then 25 else coalesce(try_cast(regexp_replace(trim(name), '^[cC][hH][rR]', '') as int), 0) end::int as number
@@ -716,12 +896,14 @@ def chrom_parse(spark, d):
 # --- exports
 
 
-@query("""select chromosome::varchar as chrom, start_pos as pos, 'N' as ref, array_to_string(list_sort(list(distinct sequence)), ',') as alt, 60 as qual, 'PASS' as filter, 'AF=' || round(min_by(frequency, id)::decimal(12, 8), 3)::decimal(12, 3)::varchar as info, count(distinct individual_id) as carriers
-  from node where scale_level = 0 and variant_type is not null and frequency is not null group by chromosome, start_pos""")
+_VARIANTS = "from node where scale_level = 0 and variant_type is not null and frequency is not null"
+
+
+@query("""select chromosome::varchar as chrom, start_pos as pos, 'N' as ref, array_to_string(list_sort(list(distinct sequence)), ',') as alt, 60 as qual, 'PASS' as filter, 'AF=' || round(min_by(frequency, id)::decimal(12, 8), 3)::decimal(12, 3)::varchar as info, any_value(gts) as gts
+  """ + _VARIANTS.replace("from node", "from node n join (select chromosome, start_pos, list(individual_id || '=' || h0 || '/' || h1 order by individual_id) as gts from (select chromosome, start_pos, individual_id, max((haplotype = 0)::int) as h0, max((haplotype = 1)::int) as h1 " + _VARIANTS + " group by 1, 2, 3) group by 1, 2) g using (chromosome, start_pos)") + " group by chromosome, start_pos")
 def vcf_export_rows(spark, d):
     rows = nodes(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "scale_level", "sequence", "frequency", "variant_type").where("scale_level = 0 and variant_type is not null and frequency is not null")
-    out = exports.vcf_rows(rows)
-    return out.withColumn("carriers", F.size(F.filter("gts", lambda g: g != "0/0")).cast("bigint")).drop("gts")
+    return exports.vcf_rows(rows).withColumn("gts", F.transform(F.array_sort("calls"), lambda c: F.concat_ws("=", c["individual_id"], c["gt"]))).drop("calls")
 
 
 @query("select 'chr' || chromosome as chrom, start_pos - 1 as chrom_start, end_pos as chrom_end, individual_id as name, trunc(frequency * 1000)::int as score from node")
@@ -741,9 +923,9 @@ def individual_metadata(spark, d):
     return exports.individuals(nodes(spark, d, "individual_id", "assembly_source", "created_at", "haplotype"))
 
 
-@query("""select case when haplotype = 0 then 'maternal' else 'paternal' end as route, count(*) as n, round(avg(len(p)), 6) as mean_length from (select path_id, min(haplotype) as haplotype, min(path_nodes) as p from genome_path group by 1) group by 1""")
+@query("""select case when haplotype = 0 then 'maternal' else 'paternal' end as route, count(*) as n, round(avg(len(p)), 6) as mean_length from (select haplotype, path_nodes as p from gp) group by 1""")
 def route_labels(spark, d):
-    rows = _paths(spark, d).withColumn("route", F.when(F.col("haplotype") == 0, "maternal").otherwise("paternal"))
+    rows = paths(spark, d).withColumn("route", F.when(F.col("haplotype") == 0, "maternal").otherwise("paternal"))
     return rows.groupBy("route").agg(F.count("*").alias("n"), r6(F.avg(F.size("path_nodes")), "mean_length"))
 
 
@@ -753,17 +935,18 @@ def upsert_scores(spark, d):
     return exports.upsert(rows.where("chromosome <= 12").select("id", F.col("frequency").alias("score")), rows.where("chromosome >= 12").select("id", (F.col("frequency") * 2).alias("score")), ["id"])
 
 
-@query("""select p.path_id, i as pos, n.variant_type from (select path_id, path_nodes[i + 1] as node, i from (select path_id, path_nodes, unnest(range(least(10, len(path_nodes))))::int as i from (select path_id, min(path_nodes) as path_nodes from genome_path group by 1))) p join node n on n.id = p.node""")
+@query("""select p.path_id, i as pos, n.variant_type from (select path_id, path_nodes[i + 1] as node, i from (select path_id, path_nodes, unnest(range(least(10, len(path_nodes))))::int as i from gp)) p join gn n on n.id = p.node""")
 def route_annotations(spark, d):
-    facts = nodes(spark, d, "variant_type").select(F.col("id").alias("node_id"), "variant_type")
-    return annotate.route_annotations(_paths(spark, d), facts).select("path_id", "pos", "variant_type")
+    facts = _keyed(spark, d, "variant_type").select(F.col("id").alias("node_id"), "variant_type")
+    return annotate.route_annotations(paths(spark, d), facts).select("path_id", "pos", "variant_type")
 
 
-@query("""select header_chr as chromosome, scale_level, count(*) as n, min(start_pos) as first, max(end_pos) as last from (select 1 as header_chr, s.i as scale_level, start_pos, least(start_pos + s.step, len) as end_pos from (select length(text) as len, text from documents) d,
-  (values (0, 100), (1, 500), (2, 2500)) s(i, step), lateral (select unnest(range(0, len, s.step)) as start_pos) x where len > 0 union all select 1, 3, 0, length(text) from documents where length(text) > 0) group by 1, 2""")
+@query("""select 'x_h0_s_chr' || c || '_' || scale_level || '_' || start_pos || '_' || end_pos as id, c as chromosome, scale_level, start_pos, end_pos, md5(substr(text, start_pos::int + 1, (end_pos - start_pos)::int)) as digest, count(*) as n from (select d.c, d.text, i as scale_level, start_pos, least(start_pos + step, len) as end_pos from
+  (select length(text) as len, text, (doc_id % 22 + 1)::int as c from documents where length(text) > 0) d, lateral (select * from (values (0, 100), (1, 500), (2, 2500), (3, d.len)) s(i, step)) v, lateral (select unnest(range(0, d.len, v.step)) as start_pos) x) group by all""")
 def segmentation(spark, d):
-    texts = table(spark, d, "documents").select(F.lit("chr1").alias("header"), F.col("text").alias("sequence"))
-    return segments.segments(texts, "x", 0, "s", 100).groupBy("chromosome", "scale_level").agg(F.count("*").alias("n"), F.min("start_pos").alias("first"), F.max("end_pos").alias("last"))
+    texts = table(spark, d, "documents").select(F.concat(F.lit("chr"), F.col("doc_id") % 22 + 1).alias("header"), F.col("text").alias("sequence"))
+    rows = segments.segments(texts, "x", 0, "s", 100)
+    return rows.groupBy("id", "chromosome", "scale_level", "start_pos", "end_pos", F.md5("sequence").alias("digest")).agg(F.count("*").alias("n"))
 
 
 # --- put together
@@ -777,11 +960,10 @@ def batch_region_query(spark, d):
 
 
 @query("""select individual_id, round(coalesce(sum(expression_level) filter (gene_id = 'PGXG00000000'), 0), 6) as "PGXG00000000", round(coalesce(sum(expression_level) filter (gene_id = 'PGXG00000001'), 0), 6) as "PGXG00000001"
-  from transcript_variant where gene_id in ('PGXG00000000', 'PGXG00000001') group by 1""")
+  from """ + _ONCE + """ where gene_id in ('PGXG00000000', 'PGXG00000001') group by 1""")
 def expression_heatmap(spark, d):
     genes = ["PGXG00000000", "PGXG00000001"]
-    rows = table(spark, d, "transcript_variant").select("individual_id", "gene_id", F.col("expression_level").alias("level"))
-    return pipelines.expression_matrix(rows, genes).withColumns({g: F.round(g, 6) for g in genes})
+    return pipelines.expression_matrix(_levels(spark, d), genes).withColumns({g: F.round(g, 6) for g in genes})
 
 
 @query("""select gene_id, coalesce(k.chromosome, p.chromosome) as chromosome, coalesce(k.tss, p.tss) as tss from (select gene_id, chromosome, gene_start as tss from region where gene_start < 4000000) k
@@ -791,15 +973,24 @@ def gene_positions(spark, d):
     return pipelines.gene_positions(rows.where("gene_start < 4000000").withColumnRenamed("gene_start", "tss"), rows.where("gene_start > 2000000").withColumnRenamed("gene_start", "start_pos"))
 
 
-@query("""select word, id from (select distinct substr(sequence, 11, 31) as word from node where chromosome = 1 and length(sequence) >= 300 and not contains(substr(sequence, 11, 31), 'N')) w join node n on contains(n.sequence, w.word)
+@query("""select word, id from (select distinct substr(sequence, o::int + 1, 31) as word from (select sequence, unnest(range(0, length(sequence) - 30, 31)) as o from node where length(sequence) >= 31) where not contains(substr(sequence, o::int + 1, 31), 'N')) w
+  join (select distinct id, substr(sequence, i::int + 1, 31) as word from (select id, sequence, unnest(range(length(sequence) - 30)) as i from node where length(sequence) >= 31)) n using (word)
   qualify row_number() over (partition by word order by id) <= 10""")
 def kmer_containment(spark, d):
-    rows = nodes(spark, d, "sequence", "chromosome")
-    words = rows.where((F.col("chromosome") == 1) & (F.length("sequence") >= 300)).select(F.substring("sequence", 11, 31).alias("word")).where(~F.contains("word", F.lit("N"))).distinct()
-    return pipelines.containing_nodes(words, rows.select("id", "sequence"), 31)
+    """The words of 31 letters that lie side by side in each node, and up to ten nodes that contain them."""
+    rows = nodes(spark, d, "sequence")
+    cut = rows.where(F.length("sequence") >= 31).select("sequence", F.explode(F.sequence(F.lit(1), F.length("sequence") - 30, F.lit(31))).alias("at"))
+    return pipelines.containing_nodes(cut.select(F.substring("sequence", F.col("at"), F.lit(31)).alias("word")), rows.select("id", "sequence"), 31)
+
+
+@query(_MAPPED.replace("count(*) >= 5)", "count(*) >= 1)") + """rw as (select distinct true_node as id, individual_id from rd join node on node.id = rd.true_node),
+tot as (select h.read_id, h.id, sum(hits) as hits, row_number() over (partition by h.read_id order by sum(hits) desc, h.id)::int as rank from hit h group by 1, 2) select read_id, id, hits::bigint as hits, rank from tot where rank <= 5""")
+def read_candidates(spark, d):
+    """The five nodes that share the most k-mers with each read."""
+    return pipelines.candidate_nodes(_tiled(spark, d), nodes(spark, d, "sequence"))
 
 
-@query(_MAPPED + "select id, round(sum(score), 6) as total from mp group by 1")
+@query(_MAPPED + _BEST.format(0.8) + "select id, round(sum(score), 6) as total from mp group by 1")
 def node_scores(spark, d):
     return pipelines.node_scores(_mapped(spark, d)).withColumn("total", F.round("total", 6))
 
@@ -815,9 +1006,12 @@ def quality_filter(spark, d):
     return pipelines.quality_filter(nodes(spark, d, "sequence"), "sequence", 300, 0.01).select("id")
 
 
-@site_query(_SITES + "select distinct site from present where individual_id = 'IND000011' and site in (select site from present where individual_id = 'IND000014')")
-def shared_variants(spark, d, exact=False):
-    return pipelines.shared_sites(_present(spark, d, exact), "IND000011", "IND000014")
+@site_query("select distinct site from present where individual_id = (select min(individual_id) from people) and site in (select site from present where individual_id = (select min(individual_id) from people where individual_id > (select min(individual_id) from people)))")
+def shared_variants(spark, d, exact=True):
+    """Sites of the first two individuals by name."""
+    present = _present(spark, d, exact)
+    first, second = [r[0] for r in present.select("individual_id").distinct().orderBy("individual_id").limit(2).collect()]
+    return pipelines.shared_sites(present, first, second)
 
 
 @query("select r.gene_id, r.chromosome, r.gene_start, r.gene_end, r.strand from region r where not exists (select 1 from node n where n.chromosome = r.chromosome and n.start_pos <= r.gene_end and n.end_pos >= r.gene_start)")
@@ -839,14 +1033,16 @@ def eqtl_allele_frequencies(spark, d):
     return parsed.select("eqtl_id", F.col("f.ref").alias("ref_frequency"), F.col("f.alt").alias("alt_frequency"), "effect_direction")
 
 
-@query("""select chromosome::varchar || chr(9) || start_pos::varchar || chr(9) || id || chr(9) || 'N' || chr(9) || substr(sequence, 1, 10) || chr(9) || '60' as value from node where sequence is not null and chromosome = 1""")
+@query("""select chromosome::varchar || chr(9) || start_pos::varchar || chr(9) || id || chr(9) || 'N' || chr(9) || substr(sequence, 1, 10) || chr(9) || '60' || chr(9) || 'PASS' || chr(9) || 'AF=' || coalesce(rtrim(frequency::decimal(18, 9)::varchar, '0'), '.') || chr(9) || 'GT' || chr(9) || '0/1' as value from node where sequence is not null""")
 def vcf_simple_lines(spark, d):
-    rows = exports.simple_vcf(nodes(spark, d, "chromosome", "start_pos", "sequence", "frequency").where("sequence is not null and chromosome = 1"))
-    return rows.select(F.substring_index("value", "\t", 6).alias("value"))
+    return exports.simple_vcf(nodes(spark, d, "chromosome", "start_pos", "sequence", "frequency").where("sequence is not null"))
 
 
-@query()
+@query(_DIPLOID + """, al as (select route, 'maternal' as haplotype, path, hops, score from ms union all select route, 'paternal', path, hops, score from fs),
+fx as (select a.route, a.haplotype, list({'pos': i, 'value': g.variant_type} order by i, g.variant_type) as annotations from (select *, unnest(range(least(10, len(path))))::int as i from al) a join gn g on g.id = a.path[i + 1] and g.variant_type is not null group by 1, 2)
+select al.route as individual_id, al.haplotype, path, hops, round(score, 6) as score, [x.value for x in annotations] as facts, len(path) as path_length, coalesce(len(annotations), 0) as n_annotations from al left join fx on fx.route = al.route and fx.haplotype = al.haplotype""")
 def comprehensive_query(spark, d):
     rows = _keyed(spark, d, "individual_id", "chromosome", "start_pos", "end_pos", "scale_level", "frequency")
     facts = _keyed(spark, d, "variant_type").where("variant_type is not null").select(F.col("id").alias("node_id"), F.lit("variant").alias("annotation_type"), F.col("variant_type").alias("value"))
-    return pipelines.comprehensive_query(rows, edges(spark, d), facts, 1, 3_000_000, 6_000_000, around=3_000_000, above=0.5)
+    found = pipelines.comprehensive_query(rows, edges(spark, d), facts, 1, 3_000_000, 6_000_000, around=3_000_000, above=0.5)
+    return found.select("individual_id", "haplotype", "path", "hops", r6("score", "score"), F.col("annotations.value").alias("facts"), "path_length", "n_annotations")

@@ -11,39 +11,42 @@ from pyspark.sql import functions as F
 from ..functions.sequence import folded
 
 
-def vcf_rows(nodes: DataFrame, samples: list[str] | None = None) -> DataFrame:
-    """One record for each (chromosome, start_pos): chrom, pos, ref, alt, qual, filter, info, and gts, a genotype per sample.
+def vcf_rows(nodes: DataFrame) -> DataFrame:
+    """One record for each (chromosome, start_pos): chrom, pos, ref, alt, qual, filter, info, and calls, the genotypes (individual_id, gt) of those that have the variant.
 
-    ALT is the sorted set of sequences, AF that of the first node by id, rounded half up. A sample's
-    genotype marks its haplotypes 0 and 1; samples without the variant are 0/0, in
-    order of name. The samples are those of the nodes unless given.
+    ALT is the sorted set of sequences, AF that of the first node by id, rounded half up. A
+    genotype marks haplotypes 0 and 1; individuals that are not listed are 0/0, so a record grows with its carriers, not with the cohort.
     """
-    names = samples if samples is not None else [r[0] for r in nodes.select("individual_id").distinct().orderBy("individual_id").collect()]  # a VCF's header lists them
     at = nodes.groupBy("chromosome", "start_pos").agg(F.array_sort(F.collect_set("sequence")).alias("alts"), F.min_by("frequency", "id").alias("af"))
     carried = nodes.where("haplotype in (0, 1)").groupBy("chromosome", "start_pos", "individual_id").agg(
         F.max(F.when(F.col("haplotype") == 0, 1).otherwise(0)).alias("h0"), F.max(F.when(F.col("haplotype") == 1, 1).otherwise(0)).alias("h1")
     )
-    calls = carried.groupBy("chromosome", "start_pos").agg(F.map_from_entries(F.collect_list(F.struct("individual_id", F.format_string("%d/%d", "h0", "h1")))).alias("calls"))
-    order = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
-    gts = F.transform(order, lambda n: F.coalesce(F.try_element_at("calls", n), F.lit("0/0")))
+    calls = carried.groupBy("chromosome", "start_pos").agg(F.collect_list(F.struct("individual_id", F.format_string("%d/%d", "h0", "h1").alias("gt"))).alias("calls"))
     return at.join(calls, ["chromosome", "start_pos"], "left").select(
         F.col("chromosome").cast("string").alias("chrom"), F.col("start_pos").alias("pos"), F.lit("N").alias("ref"), F.array_join("alts", ",").alias("alt"), F.lit(60).alias("qual"), F.lit("PASS").alias("filter"),
-        F.format_string("AF=%.3f", "af").alias("info"), gts.alias("gts"),
+        F.format_string("AF=%.3f", "af").alias("info"), "calls",
     )
 
 
-def vcf_text(nodes: DataFrame, samples: list[str] | None = None) -> tuple[list[str], DataFrame]:
-    """Header lines and the records as text, sorted by place."""
-    names = samples if samples is not None else [r[0] for r in nodes.select("individual_id").distinct().orderBy("individual_id").collect()]
+def vcf_text(nodes: DataFrame, samples: list[str]) -> tuple[list[str], DataFrame]:
+    """Header lines and the records as text, sorted by place, with a column for each of the samples; those without the variant are 0/0.
+
+    A text file with a column for each sample needs their names on the driver, so the caller lists them.
+    """
+    names = sorted(samples)
+    # The lines of a VCF header.
     head = ["##fileformat=VCFv4.2", '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
-    rows = vcf_rows(nodes, names)
+    order = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
+    rows = vcf_rows(nodes).withColumn("by_name", F.map_from_entries("calls"))
+    rows = rows.withColumn("gts", F.transform(order, lambda n: F.coalesce(F.try_element_at("by_name", n), F.lit("0/0"))))
     line = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", F.col("qual").cast("string"), "filter", "info", F.lit("GT"), F.array_join("gts", "\t"))
     return head, rows.orderBy(F.col("chrom").cast("int"), "pos").select(line.alias("value"))
 
 
 def simple_vcf(nodes: DataFrame) -> DataFrame:
-    """A line for each node with its first ten letters as ALT."""
-    return nodes.select(F.concat_ws("\t", F.col("chromosome").cast("string"), F.col("start_pos").cast("string"), "id", F.lit("N"), F.substring("sequence", 1, 10), F.lit("60"), F.lit("PASS"), F.concat(F.lit("AF="), F.col("frequency").cast("string")), F.lit("GT"), F.lit("0/1")).alias("value"))
+    """A line for each node with its first ten letters as ALT and its frequency in decimal notation, "." where there is none."""
+    share = F.coalesce(F.rtrim(F.col("frequency").cast("decimal(18,9)").cast("string"), F.lit("0")), F.lit("."))
+    return nodes.select(F.concat_ws("\t", F.col("chromosome").cast("string"), F.col("start_pos").cast("string"), "id", F.lit("N"), F.substring("sequence", 1, 10), F.lit("60"), F.lit("PASS"), F.concat(F.lit("AF="), share), F.lit("GT"), F.lit("0/1")).alias("value"))
 
 
 def bed_rows(nodes: DataFrame, annotation: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions.text import kmer_code
 from strandlake.operators import annotate, association, embed, graph, intervals, kmers, popgen, regions, rnaseq, temporal
 
 EDGES = "edge_id string, from_node string, to_node string, edge_type string, frequency double, recombination_rate double"
@@ -218,3 +219,47 @@ def test_maps_and_paths(spark):
     assert {r["path_id"]: list(r["nodes"]) for r in regions.restrict_paths(paths, inside).collect()} == {"p": ["n3", "n1", "n1"], "q": []}
     facts = spark.createDataFrame([("n1", "x")], "node_id string, value string")
     assert sorted(r["pos"] for r in annotate.route_annotations(paths, facts, 3).collect()) == [1]
+
+
+def test_codes_are_rolled_as_kmer_code(spark):
+    rng = random.Random(21)
+    rows = [(f"s{i}", "".join(rng.choice("ACGTacgtN" if i % 2 else "ACGT") for _ in range(rng.randrange(0, 90)))) for i in range(40)] + [("null", None), ("long", "ACGT" * 3000), ("odd", "ACGé" * 20)]
+    df = spark.createDataFrame(rows, "id string, sequence string").repartition(3)
+    for k in (1, 5, 16, 31):
+        plain = df.select("id", F.explode(F.sequence(F.lit(1), F.length("sequence") - k + 1)).alias("i"), F.upper("sequence").alias("s")).where(F.length("s") >= k)
+        expected = plain.select("id", kmer_code(F.substring("s", F.col("i"), F.lit(k)), k).alias("kmer"), (F.col("i") - 1).cast("bigint").alias("position")).where("kmer is not null")
+        found = kmers.kmers(df, "id", "sequence", k, coded=True)
+        ascii_only = "id <> 'odd'" if k > 3 else "true"
+        assert sorted(map(tuple, found.where(ascii_only).select("id", "kmer").collect())) == sorted(map(tuple, expected.where(ascii_only).select("id", "kmer").collect()))
+        sets = {(r["id"], r["kmer"]): r["times"] for r in kmers.kmer_sets(df, "id", "sequence", k).collect()}
+        assert sum(sets.values()) == expected.count() and len(sets) == expected.select("id", "kmer").distinct().count()
+
+
+def test_main_components_as_svd(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 3, 60)
+    x = (rng.random((60, 200)) < np.array([0.1, 0.5, 0.9])[(group[:, None] + np.arange(200)) % 3]).astype(float)
+    cells = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(x))], "hap int, site int")
+    got = {r["hap"]: r["scores"] for r in embed.main_components(cells, "hap", "site", 3).collect()}
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    found = np.array([got[i] for i in range(60)])
+    for j in range(2):
+        assert abs(abs(np.corrcoef(found[:, j], u[:, j])[0, 1]) - 1) < 1e-3 and abs(np.linalg.norm(found[:, j]) / s[j] - 1) < 1e-2
+
+
+def test_trails_and_best_routes_as_search(spark):
+    rows = graph_rows(8, 9, 16)
+    edges = spark.createDataFrame(rows, EDGES)
+    ends = {e[0]: e[1:3] for e in rows}
+    level, expected = [[e] for e in ends if ends[e][0] in ("n0", "n1")], []
+    for _ in range(4):
+        expected += level
+        level = [[*t, e] for t in level for e in ends if e not in t and ends[t[-1]][1] == ends[e][0]]
+    found = graph.trails_from(edges, spark.createDataFrame([("n0",), ("n1",), ("n0",)], "id string"), 4).collect()
+    assert sorted(r["used"] for r in found) == sorted(expected) and all(r["hops"] == len(r["used"]) == len(r["path"]) - 1 for r in found)
+    routes = spark.createDataFrame([(f"{a}>{b}", a, b) for a in ("n0", "n1") for b in ("n2", "n3", "n4")], "route string, source string, target string")
+    best = graph.best_routes(edges, routes, ["linear"], top=3).collect()
+    every = {r["route"]: r["score"] for r in graph.shortest_paths(edges, routes, 50, (F.col("frequency") > 0.01) & (F.col("edge_type") == "linear")).collect()}
+    assert [(r["route"], r["score"]) for r in best] == sorted(every.items(), key=lambda x: (-x[1], x[0]))[:3]

@@ -133,8 +133,7 @@ def mapping_score(hits_: Column, read: Column, node: Column, k: int) -> Column:
     """Share of the read's k-mers that hit, plus 0.2 if the node holds the whole read, weighed by the lengths' ratio; at most 1."""
     windows = F.length(read) - k + 1
     share = F.when(windows > 0, hits_ / windows).otherwise(0.0) + F.when(F.contains(node, read), 0.2).otherwise(0.0)
-    ratio = F.least(F.length(read), F.length(node)) / F.greatest(F.length(read), F.length(node))
-    return F.least(F.lit(1.0), share * ratio)
+    return F.least(F.lit(1.0), share * F.least(F.length(read), F.length(node)) / F.greatest(F.length(read), F.length(node)))
 
 
 def map_reads(reads: DataFrame, nodes: DataFrame, k: int = 31, min_hits: int = 5, min_score: float = 0.8, top: int = 10) -> DataFrame:
@@ -152,6 +151,11 @@ def map_reads(reads: DataFrame, nodes: DataFrame, k: int = 31, min_hits: int = 5
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def first_reads(reads: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` reads by id, for a caller that wants no more mapped; a negative number means all."""
+    return reads if most < 0 else reads.orderBy("read_id").limit(most)
+
+
 def mapping_report(reads: DataFrame, mappings: DataFrame) -> DataFrame:
     """total_reads, mapped_reads, mapping_rate, mean_best_score."""
     best = mappings.groupBy("read_id").agg(F.max("score").alias("best"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kmer_code, kmer_text
@@ -100,6 +101,12 @@ def node_scores(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("id").agg(F.sum("score").alias("total"))
 
 
+def load_rollup(samples: DataFrame) -> DataFrame:
+    """Of (ts, cpu, memory) samples: samples, duration in seconds, mean and greatest load of each."""
+    both = [f(c).alias(f"{name}_{c}") for c in ("cpu", "memory") for name, f in (("mean", F.avg), ("max", F.max))]
+    return samples.agg(F.count("*").alias("samples"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("duration"), *both)
+
+
 def monitor_rollup(samples: DataFrame, by: str) -> DataFrame:
     """Of (ts, value) samples per operation: samples, duration in seconds, mean and greatest value."""
     return samples.groupBy(by).agg(
@@ -120,22 +127,82 @@ def shared_sites(present: DataFrame, first: str, second: str) -> DataFrame:
     return own(first).join(own(second), "site", "left_semi")
 
 
-def advice(nodes: DataFrame, files_sorted: bool, most: int = 100_000) -> list[str]:
-    """What to change in the layout, by size."""
-    n = nodes.count()
-    out = [] if files_sorted else ["sort files by chromosome, scale_level, start_pos (sinks.exports.write_nodes)"]
-    return out + (["partition by chromosome and scale_level"] if n > most else [])
+# The shares of the query patterns that a genome database is tuned for.
+PATTERNS = {"region": 0.4, "individual": 0.3, "path": 0.2, "annotation": 0.1}
+ESSENTIAL = ("curve_index", "chromosome", "individual_id")
+
+
+def layout(nodes: DataFrame) -> DataFrame:
+    """What of the layout serves as an index: name, type, present (whether the table has the column that it stands on)."""
+    rows = [("curve_index", "range", "curve_index"), ("genomic_position", "composite", "chromosome"), ("individual_id", "range", "individual_id"), ("node_id", "unique", "id")]
+    return nodes.sparkSession.createDataFrame([(n, t, c in nodes.columns) for n, t, c in rows], "name string, type string, present boolean")
+
+
+def query_patterns(spark: SparkSession) -> DataFrame:
+    """pattern, share."""
+    return spark.createDataFrame(list(PATTERNS.items()), "pattern string, share double")
+
+
+def advice(nodes: DataFrame, files_sorted: bool = False, memory_share: float = 0.0, slow_patterns: list[str] | None = None, most: int = 100_000, full: float = 0.8) -> DataFrame:
+    """What to change: rule, advice. By the number of nodes, memory in use, slow query patterns, and columns that are missing."""
+    out = []
+    if not files_sorted:
+        out.append(("sorted_files", "sort files by chromosome, scale_level, start_pos (sinks.exports.write_nodes)"))
+    if nodes.count() > most:
+        out.append(("composite_layout", "partition by chromosome and scale_level"))
+    if memory_share > full:
+        out.append(("memory", "give executors more memory, or use more and smaller partitions"))
+    out += [("pattern", f"lay tables out for {p} queries, {PATTERNS[p]:.0%} of all") for p in slow_patterns or [] if PATTERNS.get(p, 0) >= 0.2]
+    out += [("missing_index", f"store {c}") for c in ESSENTIAL if c not in nodes.columns]
+    return nodes.sparkSession.createDataFrame(out, "rule string, advice string")
+
 
+def timed(operations: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
+    """Runs each operation to its last row: operation, seconds, success, rows. For census.performance_rollup()."""
+    taken = []
+    for name, make in operations.items():
+        began, seen, rows = time.perf_counter(), Observation(), None
+        try:
+            make().observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+            rows = seen.get["n"]
+        except Exception:  # the report says that it failed
+            pass
+        taken.append((name, time.perf_counter() - began, rows is not None, rows))
+    return spark.createDataFrame(taken, "operation string, seconds double, success boolean, rows bigint")
 
-METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"overview": census.overview, "diversity": census.diversity}
+
+METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "overview": census.overview, "diversity": census.diversity, "annotations": census.annotation_summary, "edge_totals": census.edge_totals, "degrees": graph.degrees, "hubs": graph.hubs, "trails": graph.trail_counts,
+    "site_frequencies": popgen.site_frequencies, "dosages": popgen.dosages,
+}
 
 
 def register_metric(spark: SparkSession, name: str, function: Callable, kind: str | None = None) -> None:
-    """Adds a metric: a function of a DataFrame, or with ``kind`` (a return type) a scalar function for SQL."""
+    """Adds a metric: a function of a DataFrame, or with ``kind`` (a return type) a scalar function of Series, Arrow batch by Arrow batch, for SQL."""
     if kind is None:
         METRICS[name] = function
     else:
-        spark.udf.register(name, function, kind)
+        spark.udf.register(name, F.pandas_udf(function, kind))
+
+
+def metric(name: str, df: DataFrame) -> DataFrame:
+    """The metric of that name; a KeyError names those there are."""
+    if name not in METRICS:
+        raise KeyError(f"no metric {name}; there are {', '.join(sorted(METRICS))}")
+    return METRICS[name](df)
+
+
+def annotation_log(annotated: DataFrame, steps: list[str]) -> DataFrame:
+    """Of annotation_run(): step and how many nodes it gave something to."""
+    counts = annotated.agg(*(F.count_if(F.col(s).isNotNull()).alias(s) for s in steps))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(s).alias("step"), F.col(s).alias("nodes")) for s in steps))))
+
+
+def grouped_points(points: DataFrame, label: str, x: str, y: str) -> DataFrame:
+    """What a scatter plot by label draws first: label, n, centre_x, centre_y, and the box of its points."""
+    return points.groupBy(label).agg(
+        F.count("*").alias("n"), F.avg(x).alias("centre_x"), F.avg(y).alias("centre_y"), F.min(x).alias("min_x"), F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y")
+    )
 
 
 def exclusive_windows(nodes: DataFrame, regions: DataFrame) -> DataFrame:

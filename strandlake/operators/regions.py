@@ -36,6 +36,17 @@ def adaptive_region(nodes: DataFrame, chromosome: int, start: int, end: int, bud
     )
 
 
+def on_chromosome(df: DataFrame, chromosome: int | None) -> DataFrame:
+    """df of one chromosome; of all if it is None or 0."""
+    return df.where(F.col("chromosome") == chromosome) if chromosome else df
+
+
+def curve_buckets(nodes: DataFrame, index: str = "curve_index", bits: int = 88) -> DataFrame:
+    """Buckets of the stored curve index, its first bits of 112: bucket, n, and the first node id of each."""
+    bucket = F.floor(F.col(index) / F.lit(str(1 << bits)).cast("decimal(38,0)")).cast("bigint")
+    return nodes.where(F.col(index).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 def window_counts(nodes: DataFrame, step: int) -> DataFrame:
     """Rollup of nodes by (chromosome, bin of ``step`` bases): the scale hierarchy computed on demand."""
     return nodes.rollup("chromosome", F.floor(F.col("start_pos") / step).alias("bin")).agg(F.count("*").alias("n"), F.avg("frequency").alias("avg_frequency"))

@@ -110,10 +110,11 @@ def allele_expression(shares: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def summary(results: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Genes, expressed genes, mean and median expression, alignments, unique ones and their share."""
+    """Genes, expressed genes, mean and median expression, alignments, unique and multiple ones and their shares."""
     genes = results.agg(
         F.count("*").alias("genes"), F.count_if(F.col("total_expression") > 0).alias("expressed"), F.avg("total_expression").alias("mean_expression"), F.median("total_expression").alias("median_expression")
     )
     reads = alignments.agg(F.count("*").alias("alignments"), F.count_if("is_unique").alias("unique_alignments"))
     joined = genes.join(F.broadcast(reads))  # one row each
-    return joined.withColumn("unique_rate", F.try_divide(F.col("unique_alignments"), F.col("alignments")))
+    joined = joined.withColumn("multi_alignments", F.col("alignments") - F.col("unique_alignments"))
+    return joined.withColumns({f"{kind}_rate": F.try_divide(F.col(f"{kind}_alignments"), F.col("alignments")) for kind in ("unique", "multi")})

@@ -24,6 +24,12 @@ def annotation_map(events: DataFrame, tie: str = "event_id") -> DataFrame:
     return latest(events, tie).groupBy("node_id").agg(F.map_from_entries(entries).alias("annotations"))
 
 
+def annotation(events: DataFrame, node: str, kind: str, value: str, ts: str, tags: list[str] | None = None) -> DataFrame:
+    """Rows as time-stamped annotations, ready to be appended (sinks.exports.append_rows): node_id, annotation_type, value, ts, and meta, the tags as JSON."""
+    meta = F.to_json(F.struct(*tags)) if tags else F.lit(None).cast("string")
+    return events.select(F.col(node).alias("node_id"), F.col(kind).alias("annotation_type"), F.col(value).cast("double").alias("value"), F.col(ts).alias("ts"), meta.alias("meta"))
+
+
 def merge_maps(old: Column, new: Column) -> Column:
     """Both maps' entries; those of ``new`` win. Null counts as empty."""
     kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))

@@ -86,6 +86,11 @@ def region_query_curve(spark, d):
 ADAPTIVE = [(1, 5_000, 5_900, None), (1, 0, 90_000, None), (1, 1_000_000, 7_000_000, None), (1, 0, 12_000_000, None), (2, 0, 90_000, 50), (3, 0, 12_000_000, 99)]
 
 
+def adaptive_count(spark: SparkSession, d: str) -> DataFrame:
+    """REGION at the scale that its size asks for."""
+    return regions.adaptive_region(nodes(spark, d, "chromosome", "start_pos", "end_pos", "scale_level"), *REGION)
+
+
 @query(f""", asked(chromosome, lo, hi, budget) as (values {", ".join(str(x).replace("None", "null::int") for x in ADAPTIVE)}),
   sized as (select *, hi - lo as size, case when hi - lo < 1000 then 0 when hi - lo < 100000 then 1 when hi - lo < 10000000 then 2 else 3 end as by_size from asked),
   used as (select *, case when budget < 100 then least(by_size + 1, 3) else by_size end as scale_used from sized)
@@ -746,11 +751,11 @@ def allele_expression(spark, d):
 
 @query(_ALN + _THETA + """, raw as (select distinct gene_id from al), sm as (select gene_id, sum(theta) as t from un group by 1), f as (select gene_id, coalesce(t, 0) as t from raw left join sm using (gene_id)),
 a as (select count(*) as genes, count(*) filter (t > 0) as expressed, round(avg(t), 6) as mean_expression, round(median(t), 6) as median_expression from f),
-b as (select count(*) as alignments, count(*) filter (is_unique) as unique_alignments from al) select *, round(unique_alignments / alignments, 6) as unique_rate from a, b""")
+b as (select count(*) as alignments, count(*) filter (is_unique) as unique_alignments from al) select *, alignments - unique_alignments as multi_alignments, round(unique_alignments / alignments, 6) as unique_rate, round((alignments - unique_alignments) / alignments, 6) as multi_rate from a, b""")
 def rna_summary(spark, d):
     rows = _aln(spark, d)
     results = rnaseq.expression(rnaseq.unique_shares(rows), rows, _lengths(spark, d), 1_000_000)
-    return rnaseq.summary(results, rows).withColumns({c: F.round(c, 6) for c in ("mean_expression", "median_expression", "unique_rate")})
+    return rnaseq.summary(results, rows).withColumns({c: F.round(c, 6) for c in ("mean_expression", "median_expression", "unique_rate", "multi_rate")})
 
 
 _ONCE = """(select distinct upper(trim(transcript_id, ' ' || chr(9))) as t, individual_id, nullif(upper(trim(gene_id, ' ' || chr(9))), '') as gene_id, expression_level from transcript_variant)"""

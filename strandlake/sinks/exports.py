@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import folded
+from ..operators.temporal import merge_maps
+from ..storage import children, drop_path, exists
 
 
 def vcf_rows(nodes: DataFrame) -> DataFrame:
@@ -91,27 +93,38 @@ def individuals(nodes: DataFrame) -> DataFrame:
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new put in: a given value replaces, a null keeps; new keys are added. One row a key in each."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """old with the rows of new put in: a given value replaces, a null keeps; new keys are added.
+
+    Where a key can come more than once, ``newest`` names the column of new whose largest value says which row holds;
+    without it each key must come once in new. Of a key that stands in old several times each row is updated.
+    """
     values = [c for c in old.columns if c not in keys]
+    if newest:
+        rest = [c for c in new.columns if c not in keys]
+        new = new.groupBy(*keys).agg(F.max(F.struct(newest, *(c for c in rest if c != newest))).alias("_top")).select(*keys, "_top.*")
     fresh = new.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in values if c in new.columns))
     joined = old.join(fresh, keys, "full")
     return joined.select(*keys, *((F.coalesce(f"_new_{c}", c) if c in new.columns else F.col(c)).alias(c) for c in values))
 
 
 class ResultCache:
-    """Results as tables in a shared folder, kept for a time under a name."""
+    """Results as tables in a shared folder, kept for a time under a name; the folder itself is the catalogue, so it outlives the application."""
 
     def __init__(self, spark: SparkSession, folder: str, seconds: float = 3600):
-        self.spark, self.folder, self.seconds, self.known = spark, folder, seconds, {}
-
-    def get(self, name: str, make) -> DataFrame:
-        """The table of that name, made by ``make()`` if it is missing or too old."""
-        path, until = self.known.get(name, ("", 0.0))
-        if time.time() >= until:
-            path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            make().write.parquet(path)
-            self.known[name] = (path, time.time() + self.seconds)
+        self.spark, self.folder, self.seconds = spark, folder.rstrip("/"), seconds
+
+    def get(self, name: str, make, seconds: float | None = None) -> DataFrame:
+        """The table of that name, made by ``make()`` if it is missing or too old; ``seconds`` says how long a new one is kept."""
+        home = f"{self.folder}/{name}"
+        for entry in reversed(children(self.spark, home)):
+            until = float(entry.split("=")[1].split("-")[0])
+            if until > time.time() and exists(self.spark, f"{home}/{entry}/_SUCCESS"):
+                return self.spark.read.parquet(f"{home}/{entry}")
+            if until <= time.time():
+                drop_path(self.spark, f"{home}/{entry}")
+        path = f"{home}/until={time.time() + (self.seconds if seconds is None else seconds):.3f}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
         return self.spark.read.parquet(path)
 
 
@@ -121,3 +134,90 @@ def assert_unique(df: DataFrame, *keys: str) -> None:
         raise ValueError(f"{', '.join(keys)} is not unique")
 
 
+def write_kmers(kmers: DataFrame, path: str) -> None:
+    """k-mers by import_id; an import that is written again replaces its own rows and no others, and repeated rows are written once."""
+    kmers.distinct().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(path)
+
+
+def merged_annotations(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes (id, annotations map) with new entries (id, name, value) put in; of equal names the new value wins, of several new ones the largest."""
+    one = new.where("name is not null").groupBy("id", "name").agg(F.max("value").alias("value"))
+    fresh = one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("_new"))
+    return nodes.join(fresh, "id", "left").withColumn("annotations", merge_maps(F.col("annotations"), F.col("_new"))).drop("_new")
+
+
+def appended(nodes: DataFrame, new: DataFrame, column: str, order: str) -> DataFrame:
+    """nodes (id, ``column`` array) with the values of new (id, value, ``order``) put at the end, in that order; a null array counts as empty."""
+    more = new.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order, "value")))["value"].alias("_new"))
+    kind = nodes.schema[column].dataType
+    none = F.array().cast(kind)
+    return nodes.join(more, "id", "left").withColumn(column, F.concat(F.coalesce(column, none), F.coalesce(F.col("_new").cast(kind), none))).drop("_new")
+
+
+def eqtl_rows(tests: DataFrame) -> DataFrame:
+    """tests with their allele frequencies (ref_frequency, alt_frequency) as JSON, ready to be appended."""
+    return tests.withColumn("allele_frequencies", F.to_json(F.struct(F.col("ref_frequency").alias("ref"), F.col("alt_frequency").alias("alt")))).drop("ref_frequency", "alt_frequency")
+
+
+def append_rows(rows: DataFrame, path: str) -> int:
+    """Adds rows to a table; returns how many."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def write_csv(df: DataFrame, path: str) -> int:
+    """CSV with a header; arrays, maps and structs as JSON. Returns the number of rows."""
+    nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    seen = Observation()
+    df.withColumns({c: F.to_json(c) for c in nested}).observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
+
+
+def write_json(df: DataFrame, path: str) -> int:
+    """A JSON object for each row and line. Returns the number of rows."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """A JSON object for each row: value. Null fields are left out."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def csv_rows(df: DataFrame) -> DataFrame:
+    """A line for each row: value; nulls are empty, texts with commas, quotes or line ends are quoted."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quoted = lambda c: F.when(text(c).rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text(c))
+    return df.select(F.concat_ws(",", *(quoted(c) for c in df.columns)).alias("value"))
+
+
+def transcript_fasta(transcripts: DataFrame, width: int = 80) -> DataFrame:
+    """A FASTA record for each transcript with a sequence: transcript_id and value, the header line and lines of ``width`` letters."""
+    rows = transcripts.where(F.length("sequence") > 0)
+    return rows.select("transcript_id", F.concat(F.lit(">"), "transcript_id", F.lit("\n"), folded(F.col("sequence"), width)).alias("value"))
+
+
+def write_transcripts(transcripts: DataFrame, path: str, each: bool = False) -> None:
+    """transcript_fasta() as text, in order of id; ``each`` gives a folder for each transcript, for a few of them only."""
+    rows = transcript_fasta(transcripts)
+    if each:
+        rows.write.mode("overwrite").partitionBy("transcript_id").text(path)
+    else:
+        rows.repartitionByRange("transcript_id").sortWithinPartitions("transcript_id").select("value").write.mode("overwrite").text(path)
+
+
+def without_prefix(nodes: DataFrame, prefix: str) -> DataFrame:
+    """nodes whose id does not start with the prefix, such as those of a benchmark."""
+    return nodes.where(~F.coalesce(F.startswith("id", F.lit(prefix)), F.lit(False)))
+
+
+def in_curve_order(nodes: DataFrame, index: str = "curve_index") -> DataFrame:
+    """nodes along the curve, ties by id; rows without an index come last."""
+    return nodes.orderBy(F.col(index).asc_nulls_last(), "id")
+
+
+def in_genome_order(nodes: DataFrame) -> DataFrame:
+    """nodes by chromosome, start, individual and haplotype, ties by id; nulls last."""
+    return nodes.orderBy(*(F.col(c).asc_nulls_last() for c in ("chromosome", "start_pos", "individual_id", "haplotype", "id")))

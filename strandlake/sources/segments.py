@@ -44,6 +44,20 @@ def benchmark_nodes(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+def simulated_nodes(spark: SparkSession, chromosome: int, start: int, end: int, resolution: int = 0, individuals: int = 5) -> DataFrame:
+    """Nodes and who has them, for a display without data: node, start_pos, end_pos, individual_id, haplotype, present.
+
+    A region has size / (1000 x (resolution + 1)) nodes, at least 10 and at most 100; a hash leaves 7 of 10 present.
+    """
+    n = max(10, min(100, (end - start) // (1000 * (resolution + 1))))
+    step = (end - start) / n
+    rows = spark.range(n).crossJoin(spark.range(individuals * 2).withColumnRenamed("id", "hap"))  # at most 100 x individuals x 2
+    return rows.select(
+        F.format_string(f"node_{chromosome}_%d", "id").alias("node"), (start + F.floor(F.col("id") * step)).alias("start_pos"), (start + F.floor((F.col("id") + 1) * step)).alias("end_pos"),
+        F.format_string("IND_%d", F.floor(F.col("hap") / 2)).alias("individual_id"), (F.col("hap") % 2).cast("int").alias("haplotype"), (F.pmod(F.xxhash64("id", "hap"), F.lit(10)) < 7).alias("present"),
+    )
+
+
 def simulated_reads(nodes: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFrame:
     """Reads cut from nodes (id, sequence) at places that a hash gives, so every run has the same: read_id, sequence, true_node."""
     fit = nodes.where(F.length("sequence") >= length)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import chromosome_number, genotype, variant_class
@@ -20,13 +20,14 @@ def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return kept.groupBy("file", "header").agg(F.max_by("sequence", "n").alias("sequence")).select("header", "sequence")
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line (0-based), value of text files that may be split over tasks.
+def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | None = None) -> DataFrame:
+    """file, line (0-based), value of text files that may be split over tasks; with ``keep`` only such lines, numbered among themselves.
 
     Lines of one block stand together in order; the blocks' line counts, a row for each
     block, give every block's first line number.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path)
+    lines = (lines if keep is None else lines.where(keep)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("count"), F.min("n").alias("first"))
     before = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return lines.join(blocks.select("file", "block", (before - F.col("first")).alias("shift")), ["file", "block"]).select("file", (F.col("n") + F.col("shift")).alias("line"), "value")
@@ -37,7 +38,7 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     at = F.pmod("line", F.lit(4))
     part = lambda i: F.max(F.when(at == i, F.trim(F.regexp_replace("value", "\r", "")))).alias(f"p{i}")
     rows = numbered_lines(spark, path).groupBy("file", F.floor(F.col("line") / 4).alias("ordinal")).agg(part(0), part(1), part(3), F.count("*").alias("n"))
-    return rows.where("n = 4").select(F.substring("p0", 2, 1_000_000).alias("read_id"), F.col("p1").alias("sequence"), F.col("p3").alias("quality"), "ordinal")
+    return rows.where("n = 4").select(F.expr("substr(p0, 2)").alias("read_id"), F.col("p1").alias("sequence"), F.col("p3").alias("quality"), "ordinal")
 
 
 def inline_reads(spark: SparkSession, sequences: list[str]) -> DataFrame:
@@ -80,12 +81,11 @@ def vcf(spark: SparkSession, path: str, individuals: dict[str, str] | None = Non
 
 
 def bed(spark: SparkSession, path: str, annotation: str = "annotation") -> DataFrame:
-    """chromosome, iv_start, iv_end, name (default annotation_ordinal), score (default 1000) of each interval."""
+    """chromosome, iv_start, iv_end, name (default annotation_ordinal, among its file's intervals), score (default 1000) of each interval."""
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    rows = numbered_lines(spark, path).where((F.col("value") != "") & ~F.col("value").rlike("^(#|track|browser)"))
+    rows = numbered_lines(spark, path, (F.col("value") != "") & ~F.col("value").rlike("^(#|track|browser)"))
     given = lambda i: F.nullif(F.get(f, F.lit(i)), F.lit(""))
-    ordinal = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    name = F.coalesce(given(3), F.format_string(f"{annotation}_%d", ordinal))
+    name = F.coalesce(given(3), F.format_string(f"{annotation}_%d", "line"))
     return rows.select(
         chromosome_number(f[0]).alias("chromosome"), f[1].cast("bigint").alias("iv_start"), f[2].cast("bigint").alias("iv_end"), name.alias("name"), F.coalesce(given(4).try_cast("double"), F.lit(1000.0)).alias("score")
     )

@@ -70,9 +70,17 @@ def orphan_events(refs: DataFrame | None = None, born: DataFrame | None = None,
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), given)
 
 
-def map_read_stream(reads: DataFrame, node_kmers: DataFrame, k: int = 31, least: int = 5) -> DataFrame:
-    """Arriving reads (read_id, sequence) against a static k-mer table (kmer, id): read_id, id, hits, in complete or update mode."""
+def map_read_stream(reads: DataFrame, node_kmers: DataFrame, k: int = 31, least: int = 5, at: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Arriving reads (read_id, sequence) against a static k-mer table (kmer, id): read_id, id, hits, in complete or update mode.
+
+    With ``at``, the reads' time, a read's hits are kept as state only until the watermark
+    has passed it by ``late``, so state does not grow without end, and append mode is possible.
+    """
     from ..operators.kmers import kmers
 
-    found = kmers(reads, "read_id", "sequence", k).join(node_kmers.select("kmer", "id").distinct(), "kmer")
-    return found.groupBy("read_id", "id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    static = node_kmers.select("kmer", "id").distinct()
+    if at is None:
+        return kmers(reads, "read_id", "sequence", k).join(static, "kmer").groupBy("read_id", "id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    keyed = reads.select(F.struct("read_id", at).alias("read"), "sequence")
+    found = kmers(keyed, "read", "sequence", k).join(static, "kmer").select("read.read_id", F.col(f"read.{at}").alias(at), "id").withWatermark(at, late)
+    return found.groupBy(F.window(at, late), "read_id", "id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("read_id", "id", "hits")

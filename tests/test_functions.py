@@ -88,3 +88,14 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"processing": {"k": 21}, "own": {"x": 1}}')
     got = config.load(str(tmp_path / "c.json"), curve={"order": 28})
     assert got["processing"]["k"] == 21 and got["processing"]["segment_size"] == 10_000 and got["own"] == {"x": 1} and got["curve"]["order"] == 28
+
+
+def test_tails_side_by_side_as_one_by_one():
+    import numpy as np
+
+    from strandlake.functions.statistics import student_tail, student_tails
+
+    t = np.array([0.0, 0.1, 1.0, 2.5, 9.0, 60.0, np.inf, 0.5])
+    df = np.array([1.0, 3.0, 8.0, 30.0, 4.0, 500.0, 7.0, 100000.0])
+    assert np.allclose(student_tails(t, df), [student_tail(float(a), float(b)) for a, b in zip(t, df)], rtol=1e-9, atol=1e-300)
+    assert len(student_tails(np.array([]), np.array([]))) == 0

@@ -78,3 +78,12 @@ def test_orphan_events_survive_a_restart(spark, tmp_path):
     put([death("node:A", 5)])
     run(OrphanTracker(spark, state))
     assert [r["ref_id"] for r in OrphanTracker(spark, state).open().collect()] == ["e2"]
+
+
+def test_read_stream_with_a_watermark_forgets(spark, tmp_path):
+    nodes = spark.createDataFrame([("n1", "ACGTTGCAACGGTTAACC")], "id string, sequence string")
+    for i, hours in enumerate((0, 5, 9)):
+        spark.createDataFrame([(f"r{i}", "CGTTGCAACGG", T0 + timedelta(hours=hours))], "read_id string, sequence string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "reads"))
+    reads = stream.read(spark, str(tmp_path / "reads"), "read_id string, sequence string, at timestamp")
+    query = stream.start(stream.map_read_stream(reads, kmers(nodes, "id", "sequence", 7), 7, 3, at="at"), "append", "memory", str(tmp_path / "c"), "closed_reads")
+    assert {tuple(r) for r in drain(query, spark, "closed_reads").collect()} <= {(f"r{i}", "n1", 5) for i in range(3)} and spark.table("closed_reads").count() >= 1

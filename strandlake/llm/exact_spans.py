@@ -58,6 +58,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _least_places(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the smallest of each ``span`` values in a row, the first of equals; by windows of doubling width."""
+    least, place, size = values, np.arange(len(values), dtype=np.int32), 1
+    while size < span:
+        step = min(size, span - size)
+        lower = least[step:] < least[:-step]
+        least, place = np.where(lower, least[step:], least[:-step]), np.where(lower, place[step:], place[:-step])
+        size += step
+    return place
+
+
 class Scanner:
     """The valid windows of a batch of sequences, a chunk of them at a time."""
 
@@ -89,7 +100,7 @@ class Scanner:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], dtype=np.uint64)])
             seeds = self._hashes(sums, self.seed)
             span = self.least - self.seed + 1
-            place = good + np.concatenate([np.lib.stride_tricks.sliding_window_view(seeds, span)[part].argmin(axis=1) for part in np.array_split(good, -(-len(good) // 65536))])
+            place = _least_places(seeds, span)[good]
             start = at[good] - offsets[record[good]]
             yield record[good], start, seeds[place].view(np.int64), place + first - offsets[record[good]], self._hashes(sums, self.least)[good].view(np.int64) if whole else None
 

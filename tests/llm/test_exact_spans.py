@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.llm.exact_spans import SuffixAutomaton, match_shard, shared_bases, shared_classes, shared_pairs, without_reference, without_shared
+from strandlake.llm.exact_spans import SuffixAutomaton, _least_places, match_shard, shared_bases, shared_classes, shared_pairs, without_reference, without_shared
 
 ROWS = "id string, s string"
 
@@ -169,3 +169,12 @@ def test_streaming_past_a_broadcast_reference(spark, monkeypatch):
     long = [("x", text(3000) + upper[0] + text(2500))]
     assert without_reference(spark.createDataFrame(long, ROWS), "id", "s", reference, 30).first()["removed"] >= 400
     assert without_reference(spark.createDataFrame(rows, ROWS), "id", "s", [], 30).where("removed > 0").count() == 0
+
+
+def test_least_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for span in (1, 2, 3, 7, 8, 21, 57):
+        values = rng.integers(0, 9, 200).astype(np.uint64)
+        assert _least_places(values, span).tolist() == [k + int(values[k : k + span].argmin()) for k in range(200 - span + 1)]

@@ -132,20 +132,69 @@ def _numbered(df: DataFrame, ident: str, label: str) -> DataFrame:
 def mapping_score(hits_: Column, read: Column, node: Column, k: int) -> Column:
     """Share of the read's k-mers that hit, plus 0.2 if the node holds the whole read, weighed by the lengths' ratio; at most 1."""
     windows = F.length(read) - k + 1
-    share = F.when(windows > 0, hits_ / windows).otherwise(0.0) + F.when(F.contains(node, read), 0.2).otherwise(0.0)
+    share = F.when(windows > 0, hits_ / windows).otherwise(0.0) + F.when(F.contains(node, read), BONUS).otherwise(0.0)
     return F.least(F.lit(1.0), share * F.least(F.length(read), F.length(node)) / F.greatest(F.length(read), F.length(node)))
 
 
+FEW = 0.3
+BONUS = 0.2  # of a read that a node holds whole
+
+
+def _shared(k: int):
+    """Of (r, n, read, node): r, n and hits, how many of the read's windows the node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (list(_windows(batch.column(i), k)) for i in (2, 3))
+            hits = np.zeros(batch.num_rows, np.int64)
+            if one and other:
+                (row, _, code), (row2, _, code2) = ((np.concatenate(x) for x in zip(*side)) for side in (one, other))
+                names, place = np.unique(np.concatenate([code, code2]), return_inverse=True)
+                held = np.isin(row * len(names) + place[: len(code)], row2 * len(names) + place[len(code) :])
+                hits = np.bincount(row[held], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits.astype(np.int64))], ["r", "n", "hits"])
+
+    return run
+
+
+def _candidates(one: DataFrame, other: DataFrame, k: int, min_hits: int, min_score: float) -> DataFrame:
+    """Pairs (r, n) among which are all that can reach the score.
+
+    A node of at least that score has at least (min_score - BONUS) x windows of a read's windows. So of the windows that
+    any node has, all but that many may be missing, and among a read's rarest ones, one more than may be missing, there is one that the
+    node has. Only these are joined: k-mers of repeats, which very many nodes have, come in where a read has little else.
+    """
+    need = F.greatest(F.lit(min_hits), F.ceil((min_score - BONUS) * (F.length("sequence") - k + 1) - 1e-6)).alias("need")
+    reads = kmer_sets(one.where(F.length("sequence") >= k), "n", "sequence", k).withColumnRenamed("n", "r")
+    held = materialise(kmer_sets(other, "n", "sequence", k).drop("times"), "kmers")
+    known = held.groupBy("kmer").agg(F.count("*").alias("nodes"))
+    seen = reads.join(known.hint("merge"), "kmer").join(one.select(F.col("n").alias("r"), need), "r")
+    by_read = Window.partitionBy("r")
+    rarest = by_read.orderBy("nodes", "kmer").rowsBetween(Window.unboundedPreceding, -1)
+    spare = F.sum("times").over(by_read) - F.col("need")  # windows that a node may lack
+    kept = seen.select("r", "kmer", spare.alias("spare"), F.coalesce(F.sum("times").over(rarest), F.lit(0)).alias("before"))
+    kept = kept.where((F.col("spare") >= 0) & (F.col("before") <= F.col("spare"))).select("r", "kmer")
+    return salted_join(held, kept.hint("merge"), "kmer", "n", hot=hot_keys(held.sample(0.05, 1), "kmer")).select("r", "n").distinct()
+
+
 def map_reads(reads: DataFrame, nodes: DataFrame, k: int = 31, min_hits: int = 5, min_score: float = 0.8, top: int = 10) -> DataFrame:
     """The best nodes of each read: read_id, id, hits, score, rank; ties by node id.
 
-    ``reads``: read_id, sequence; ``nodes``: id, sequence; k at most 31. Repeated rows count once,
-    null sequences map nowhere. Texts are looked up for candidates only.
+    ``reads``: read_id, sequence; ``nodes``: id, sequence; k at most 31. A hit is a window of the read, of A, C, G, T, that the
+    node has. Repeated rows count once, null sequences map nowhere. Texts are looked up for candidates only.
     """
     one, other = _numbered(reads, "read_id", "reads"), _numbered(nodes, "id", "nodes")
-    hot = hot_keys(kmer_sets(other.sample(0.05, 1), "n", "sequence", k), "kmer")  # they only steer the plan
-    found = hits(kmer_sets(one, "n", "sequence", k).withColumnRenamed("n", "r"), kmer_sets(other, "n", "sequence", k), "r", "n", min_hits, hot)
-    with_text = found.join(one.select(F.col("n").alias("r"), "read_id", F.upper("sequence").alias("read_text")), "r").join(other.select("n", "id", F.upper("sequence").alias("node_text")), "n")
+    a = one.select(F.col("n").alias("r"), "read_id", F.upper("sequence").alias("read_text"))
+    b = other.select("n", "id", F.upper("sequence").alias("node_text"))
+    if min_score - BONUS < FEW:  # a read's rarest windows would be nearly all of them
+        hot = hot_keys(kmer_sets(other.sample(0.05, 1), "n", "sequence", k), "kmer")  # they only steer the plan
+        found = hits(kmer_sets(one, "n", "sequence", k).withColumnRenamed("n", "r"), kmer_sets(other, "n", "sequence", k), "r", "n", min_hits, hot)
+    else:
+        ratio = F.least(F.length("read_text"), F.length("node_text")) / F.greatest(F.length("read_text"), F.length("node_text"))
+        pairs = _candidates(one, other, k, min_hits, min_score)
+        fit = pairs.join(a.drop("read_id"), "r").join(b.drop("id"), "n").where(ratio * (1 + BONUS) >= min_score - 1e-6)
+        found = fit.select("r", "n", "read_text", "node_text").mapInArrow(_shared(k), "r bigint, n bigint, hits bigint").where(F.col("hits") >= min_hits)
+    with_text = found.join(a, "r").join(b, "n")
     scored = with_text.select("read_id", "id", "hits", mapping_score(F.col("hits"), F.col("read_text"), F.col("node_text"), k).alias("score")).where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -263,3 +263,33 @@ def test_trails_and_best_routes_as_search(spark):
     best = graph.best_routes(edges, routes, ["linear"], top=3).collect()
     every = {r["route"]: r["score"] for r in graph.shortest_paths(edges, routes, 50, (F.col("frequency") > 0.01) & (F.col("edge_type") == "linear")).collect()}
     assert [(r["route"], r["score"]) for r in best] == sorted(every.items(), key=lambda x: (-x[1], x[0]))[:3]
+
+
+def test_mapping_as_brute_force_in_repeats(spark):
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    repeat = text(60)
+    nodes = [(f"n{i}", text(rng.randrange(20, 60)) + (repeat if i % 2 else "") + text(rng.randrange(0, 50)) + ("N" * 5 if i % 5 == 0 else "")) for i in range(30)]
+    reads = []
+    for i in range(60):
+        s = rng.choice(nodes)[1]
+        at = rng.randrange(0, max(1, len(s) - 60))
+        cut = list(s[at : at + rng.randrange(30, 90)])
+        for _ in range(rng.randrange(0, 3)):
+            cut[rng.randrange(len(cut))] = rng.choice("ACGT")
+        reads.append((f"r{i}", "".join(cut).lower() if i % 4 == 0 else "".join(cut)))
+    reads += [("whole", nodes[1][1]), ("twice", repeat[:20] * 3), ("none", None), ("short", "ACG"), reads[3]]
+    k = 11
+    for least in (0.1, 0.5, 0.8):
+        expected = []
+        for rid, r in {x for x in reads if x[1]}:
+            r, own = r.upper(), []
+            for nid, n in nodes:
+                held = {n[i : i + k] for i in range(len(n) - k + 1) if "N" not in n[i : i + k]}
+                hits = sum(r[i : i + k] in held for i in range(len(r) - k + 1))
+                score = min(1.0, (hits / max(1, len(r) - k + 1) + (0.2 if r in n else 0.0)) * min(len(r), len(n)) / max(len(r), len(n)))
+                if hits >= 5 and score >= least:
+                    own.append((-score, nid, hits))
+            expected += [(rid, nid, hits, rank) for rank, (_, nid, hits) in enumerate(sorted(own)[:10], 1)]
+        found = kmers.map_reads(spark.createDataFrame(reads, "read_id string, sequence string"), spark.createDataFrame(nodes, "id string, sequence string"), k, 5, least).collect()
+        assert sorted((r["read_id"], r["id"], r["hits"], r["rank"]) for r in found) == sorted(expected) and expected

@@ -128,6 +128,7 @@ def per_key(df: DataFrame, keys: list[str], item: str, stated: str, tie: str, pa
         *(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)),
         F.col(f"`{item}`").alias("item"), F.col(f"`{stated}`").cast("bigint").alias("stated"), F.col(f"`{tie}`").alias("tie"),
     )
+    rows = materialise(rows, "keyed")  # the range bounds are sampled from what the partitioning then reads again
     order = [*names, "item", "tie"]
     ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     types = {f.name: f.dataType for f in rows.schema}

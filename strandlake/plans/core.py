@@ -34,8 +34,8 @@ def recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
-def site_query(body: str | None = None, prefix=None, binned: bool = True):
-    """Registers a query over the exact sites of the calls and, as name_binned, the same over the nodes' variants in bins of BIN bases."""
+def site_query(body: str | None = None, prefix=None, binned: bool = True, own: bool = False):
+    """Registers a query over the exact sites of the calls and, as name_binned, the same over the nodes' variants in bins of BIN bases; with ``own``, as name_exact, also over these at their own positions."""
 
     def register(f):
         QUERIES[f.__name__] = f
@@ -46,6 +46,11 @@ def site_query(body: str | None = None, prefix=None, binned: bool = True):
             QUERIES[name] = partial(f, exact=False)
             if body:
                 ORACLE[name] = PRELUDE + (prefix or sites_sql)(False) + body
+        if own:
+            name = f"{f.__name__}_exact"
+            QUERIES[name] = partial(f, exact=NODES)
+            if body:
+                ORACLE[name] = PRELUDE + (prefix or sites_sql)(NODES) + body
         return f
 
     return register
@@ -471,28 +476,31 @@ def cis_window_join(spark, d):
 BIN = 500_000
 
 
-def sites_sql(exact: bool) -> str:
-    rows, site, number, pop = ("call", "start_pos", 5, "call_pop") if exact else ("node", f"(start_pos // {BIN})", 4, "pop")
+NODES = "nodes"  # for ``exact``: the nodes' variants at their own positions, of which haplotypes of the test tables share hardly any
+
+
+def sites_sql(exact: bool | str) -> str:
+    rows, site, number, pop = ("call", "start_pos", 5, "call_pop") if exact is True else ("node", "start_pos" if exact else f"(start_pos // {BIN})", 4, "pop")
     return f""", present as (select individual_id || '_h' || haplotype as hap, individual_id, haplotype, chromosome || '_' || {site} as site from {rows}
-  where {"" if exact else "scale_level = 0 and"} variant_type is not null group by individual_id, haplotype, chromosome, {site} having avg(frequency) > 0),
+  where {"" if exact is True else "scale_level = 0 and"} variant_type is not null group by individual_id, haplotype, chromosome, {site} having avg(frequency) > 0),
 people as (select distinct individual_id, substr(individual_id, {number})::bigint as number from {rows}),
 pp as (select present.*, population from present join {pop} using (individual_id)),
 nh as (select population, count(distinct hap) as n_hap from pp group by 1),
 fr as (select population, site, count(*) as carriers, n_hap, count(*) / n_hap as p from pp join nh using (population) group by population, site, n_hap) """
 
 
-def _present(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
-    if exact:
+def _present(spark: SparkSession, d: str, exact: bool | str = True) -> DataFrame:
+    if exact is True:
         return popgen.presence(calls(spark, d))
     rows = nodes(spark, d, "individual_id", "haplotype", "chromosome", "start_pos", "frequency", "scale_level", "variant_type")
-    return popgen.presence(rows, F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / BIN).cast("string")))
+    return popgen.presence(rows, None if exact else F.concat_ws("_", F.col("chromosome").cast("string"), F.floor(F.col("start_pos") / BIN).cast("string")))
 
 
 def _by_population(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
-    return _present(spark, d, exact).join(call_populations(spark, d) if exact else populations(spark, d), "individual_id")
+    return _present(spark, d, exact).join(call_populations(spark, d) if exact is True else populations(spark, d), "individual_id")
 
 
-@site_query("select hap, individual_id, haplotype, site from present")
+@site_query("select hap, individual_id, haplotype, site from present", own=True)
 def presence_matrix_long(spark, d, exact=True):
     return _present(spark, d, exact)
 
@@ -507,7 +515,7 @@ two as (select individual_id from pp group by 1 having count(distinct haplotype)
 oh as (select population, count(*) filter (h = 1) as mixed, count(distinct individual_id) as people from (select population, individual_id, site, count(distinct haplotype) as h from pp where individual_id in (select individual_id from two) group by 1, 2, 3) group by 1),
 f as (select st.*, coalesce(mixed / (people * sites), 0) as oh, list_sum([1.0 / i for i in range(1, greatest(n_hap, 2))]) as a1 from st left join oh using (population))
 select population, n_hap as population_size, sites, round(eh, 6) as expected_het, round(oh, 6) as observed_het, round(case when eh > 0 then (eh - oh) / eh else 0 end, 6) as fis,
-  round(eh, 6) as pi, round(case when n_hap < 3 or s = 0 then 0 else (diff / (n_hap * (n_hap - 1) / 2) - s / a1) / sqrt(s / a1) end, 6) as tajimas_d from f""")
+  round(eh, 6) as pi, round(case when n_hap < 3 or s = 0 then 0 else (diff / (n_hap * (n_hap - 1) / 2) - s / a1) / sqrt(s / a1) end, 6) as tajimas_d from f""", own=True)
 def pop_metrics(spark, d, exact=True):
     rows = popgen.metrics(_by_population(spark, d, exact), "population")
     return rows.withColumns({c: F.round(c, 6) for c in ("expected_het", "observed_het", "fis", "pi", "tajimas_d")})
@@ -568,15 +576,15 @@ g as (select site, a, b, c, d, (abs(a-ea) - least(0.5, abs(a-ea)))**2/ea + (abs(
 
 
 def _phenotype(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
-    people = (calls(spark, d) if exact else nodes(spark, d, "individual_id")).select("individual_id").distinct()
-    return people.select("individual_id", (F.substring("individual_id", 5 if exact else 4, 20).cast("bigint") % 2 == 0).alias("is_case"))
+    people = (calls(spark, d) if exact is True else nodes(spark, d, "individual_id")).select("individual_id").distinct()
+    return people.select("individual_id", (F.substring("individual_id", 5 if exact is True else 4, 20).cast("bigint") % 2 == 0).alias("is_case"))
 
 
 def _gwas(spark: SparkSession, d: str, exact: bool = True) -> DataFrame:
     return association.gwas(popgen.dosages(_present(spark, d, exact)), _phenotype(spark, d, exact))
 
 
-@site_query("select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g", gwas_sql)
+@site_query("select site, a, b, c, d, round(chi2, 6) as chi2, round(orr, 6) as odds_ratio, round(case when orr > 0 then ln(orr) else 0 end, 6) as beta, round(mean_dosage, 6) as mean_dosage from g", gwas_sql, own=True)
 def gwas_chi2(spark, d, exact=True):
     return _gwas(spark, d, exact).withColumns({c: F.round(c, 6) for c in ("chi2", "odds_ratio", "beta", "mean_dosage")})
 

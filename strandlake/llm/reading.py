@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..storage import materialise, ship
 
-LISTS = 44
+LISTS = 88
 COMMONEST, RAREST = 0.98, 0.005  # shares of all documents: the bounds of the first and of the last list
 BOUNDS = np.exp(np.linspace(np.log(COMMONEST), np.log(RAREST), LISTS))
 SHOWN = int(np.argmin(abs(BOUNDS - 0.05)))  # the list that the result's ``unfamiliar`` refers to
@@ -123,7 +123,7 @@ def _design(outside, sentence) -> np.ndarray:
     return np.column_stack([np.asarray(outside, float).reshape(-1, LISTS), np.log1p(np.asarray(sentence, float))])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Weights of the columns of x, then the constant; the ridge is on standardised columns."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])

@@ -44,7 +44,7 @@ def manhattan(tests: DataFrame, chromosome: str, position: str, p: str) -> DataF
     """tests with x (position on the line of all chromosomes) and y (-log10 p; 50 for p <= 0)."""
     lengths = tests.groupBy(chromosome).agg((F.max(position) + 1_000_000).alias("_length"))
     before = F.coalesce(F.sum("_length").over(Window.orderBy(chromosome).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each chromosome
-    placed = tests.join(F.broadcast(lengths.select(chromosome, before.alias("_offset"))), chromosome)
+    placed = tests.join(lengths.select(chromosome, before.alias("_offset")), chromosome)
     y = F.when(F.col(p) > 0, -F.log10(p)).otherwise(50.0)
     return placed.withColumn("x", F.col(position) + F.col("_offset")).withColumn("y", y).drop("_offset")
 

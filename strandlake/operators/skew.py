@@ -158,6 +158,14 @@ def per_key(df: DataFrame, keys: list[str], item: str, stated: str, tie: str, pa
 MOST_HOT = 1000
 
 
+MOST_SENT = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has, as its maker counted, at most MOST_SENT rows (some tens of MB of a few numbers each); else the planner chooses."""
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 def hot_of(counts: DataFrame, key: str, n: str) -> list:
     """Of keys with their counts those with more than 1/MOST_HOT of all rows, in one pass: at most MOST_HOT values, whatever the size."""
     seen = Observation()

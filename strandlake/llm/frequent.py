@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import small
 from ..storage import materialise, ship
 
 DATA, PARITY = 8, 4
@@ -185,7 +186,7 @@ def frequent(df: DataFrame, value: str, share: float, ident: str | None = None,
     def counted(some: DataFrame) -> DataFrame:
         return some.groupBy(*names).agg(F.count("*").alias("n_rows"))
 
-    candidates = F.broadcast(spark.createDataFrame([(w,) for w in spelled], "word bigint"))  # at most ROWS/share words for each group
+    candidates = small(spark.createDataFrame([(w,) for w in spelled], "word bigint"), len(spelled))  # at most ROWS/share words for each group
     exact = materialise(counted(rows.join(candidates, "word", "left_semi")), "exact")
     doubtful = _unproved(counts, exact.groupBy("word").agg(F.sum("n_rows")).collect(), least, groups)
     if len(doubtful):  # words of these groups of the first row, counted one and all

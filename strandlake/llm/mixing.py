@@ -15,6 +15,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import small
+
 
 def _poisson(rate: float, k: int) -> float:
     return math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
@@ -111,7 +113,7 @@ def spread(documents: DataFrame, asked: DataFrame) -> DataFrame:
         bounds = poisson_steps(r["rate"] or 0.0, int(r["max_repeats"] or 0))
         mean = float(sum(1 - b for b in bounds))
         rows.append((r["source"], mean, math.sqrt(max(0.0, sum((2 * k + 1) * (1 - b) for k, b in enumerate(bounds)) - mean * mean))))
-    one = F.broadcast(spark.createDataFrame(rows, "source string, mean double, dev double"))  # as many rows as there are targets
+    one = small(spark.createDataFrame(rows, "source string, mean double, dev double"), len(rows))  # as many rows as there are targets
     n = F.coalesce("n_tokens", F.lit(0)).cast("double")
     sums = documents.select("ident", "source", "n_tokens").distinct().groupBy("source").agg(F.sum(n).alias("s"), F.sum(n * n).alias("ss"))
     return sums.join(one, "source").select("source", (F.col("mean") * F.col("s")).alias("expected_tokens"), (F.col("dev") * F.sqrt("ss")).alias("deviation"))
@@ -127,7 +129,7 @@ def mixture(documents: DataFrame, asked: DataFrame, seed: int = 0) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = [(r["source"], poisson_steps(r["rate"] or 0.0, int(r["max_repeats"] or 0))) for r in asked.collect()]
-    steps = F.broadcast(spark.createDataFrame(rows, "source string, steps array<double>"))  # as many rows as there are targets
+    steps = small(spark.createDataFrame(rows, "source string, steps array<double>"), len(rows))  # as many rows as there are targets
     u = _uniform(F.col("ident"), F.lit(seed))
     drawn = documents.select("ident", "source", "n_tokens").distinct().join(steps, "source")
     copies = drawn.withColumn("u", u).withColumn("n", F.size(F.filter("steps", lambda b: b <= F.col("u")))).where("n > 0")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import small
 from ..storage import materialise, ship
 
 GROUPS = 64
@@ -222,7 +223,7 @@ def _place_large(spark: SparkSession, items: DataFrame, places: list[tuple], sta
     before = F.create_map(*(F.lit(x) for pair in (starts or {0: 0}).items() for x in pair))
     rank = before[F.col("n_tokens")] + F.col("place")
     at = ranked(items, "n_tokens", "key", "place").withColumn("rank", rank).withColumn("grp", F.floor(F.col("rank") / cardinality).cast("int")).withColumn("i", F.col("rank") % cardinality)
-    joined = at.join(F.broadcast(table), "grp").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))  # at most a row for each group and configuration
+    joined = at.join(small(table, len(places)), "grp").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))  # at most a row for each group and configuration
     return joined.select("key", "n_tokens", (F.col("base") + F.floor((F.col("i") - F.col("first")) / F.col("each"))).cast("bigint").alias("at"))
 
 

@@ -131,9 +131,14 @@ def _numbered(df: DataFrame, ident: str, label: str) -> DataFrame:
 
 def mapping_score(hits_: Column, read: Column, node: Column, k: int) -> Column:
     """Share of the read's k-mers that hit, plus 0.2 if the node holds the whole read, weighed by the lengths' ratio; at most 1."""
-    windows = F.length(read) - k + 1
-    share = F.when(windows > 0, hits_ / windows).otherwise(0.0) + F.when(F.contains(node, read), BONUS).otherwise(0.0)
-    return F.least(F.lit(1.0), share * F.least(F.length(read), F.length(node)) / F.greatest(F.length(read), F.length(node)))
+    return score(hits_, F.length(read), F.length(node), F.contains(node, read), k)
+
+
+def score(hits_: Column, read: Column, node: Column, whole: Column, k: int) -> Column:
+    """mapping_score() from the lengths of both, and whether the node holds the read."""
+    windows = read - k + 1
+    share = F.when(windows > 0, hits_ / windows).otherwise(0.0) + F.when(whole, BONUS).otherwise(0.0)
+    return F.least(F.lit(1.0), share * F.least(read, node) / F.greatest(read, node))
 
 
 FEW = 0.3

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..operators.skew import hot_keys, hot_of, salted_join
 from ..storage import materialise, ship
 
-CHUNK = 1 << 21
+CHUNK = 1 << 18  # letters worked on at a time, some 40 MB
 CROWD = 400
 SHARD_LETTERS = 1 << 20  # of a reference in one automaton, at most some 60 MB
 BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.llm.exact_spans import SuffixAutomaton, _least_places, match_shard, shared_bases, shared_classes, shared_pairs, without_reference, without_shared
@@ -178,3 +180,16 @@ def test_least_places():
     for span in (1, 2, 3, 7, 8, 21, 57):
         values = rng.integers(0, 9, 200).astype(np.uint64)
         assert _least_places(values, span).tolist() == [k + int(values[k : k + span].argmin()) for k in range(200 - span + 1)]
+
+
+def test_scanning_takes_little_memory():
+    from strandlake.llm.exact_spans import Scanner
+
+    dice = random.Random(4)
+    text = pa.array(["".join(dice.choices("ACGT", k=1000))] * 3000)
+    tracemalloc.start()
+    windows = sum(len(w[0]) for w in Scanner(120, 64).windows(text, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == 3000 * 881
+    assert peak < 100_000_000
